@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, suffix_dedup
 
 QUERIES = {
     "op6_simhash": simhash.op6_simhash,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
