@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash, suffix_dedup
+from . import language_id, secrets, simhash, suffix_dedup
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op6_simhash": simhash.op6_simhash,
+    "op8_secrets": secrets.op8_secrets,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_secrets": secrets.ORACLE,
+}
