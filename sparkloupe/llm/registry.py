@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, secrets, simhash, suffix_dedup
+from . import decontam, language_id, mixing, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontam": decontam.op7_decontam,
     "op8_secrets": secrets.op8_secrets,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
     "op8_secrets": secrets.ORACLE,
