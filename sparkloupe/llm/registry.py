@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, mixing, secrets, simhash, suffix_dedup
+from . import decontam, hnsw, language_id, mixing, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op1_hnsw": hnsw.op1_hnsw,
     "op2_language_id": language_id.op2_language_id,
+    "op3_warc": warc.op3_warc,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontam": decontam.op7_decontam,
     "op8_secrets": secrets.op8_secrets,
@@ -13,5 +15,6 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op8_secrets": secrets.ORACLE,
 }
