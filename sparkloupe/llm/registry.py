@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, hnsw, language_id, mixing, secrets, simhash, suffix_dedup, warc
+from . import decontam, hnsw, language_id, licenses, mixing, pii_boost, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
     "op2_language_id": language_id.op2_language_id,
     "op3_warc": warc.op3_warc,
+    "op4_pii": pii_boost.op4_pii,
+    "op5_licenses": licenses.op5_licenses,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontam": decontam.op7_decontam,
     "op8_secrets": secrets.op8_secrets,
