@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import issues, plans, source, text
+from ._base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "issues", "plans", "source", "text"]
