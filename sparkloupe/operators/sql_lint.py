@@ -64,7 +64,7 @@ def plan_steps(plans: DataFrame) -> DataFrame:
 
 def plan_steps_plain(plans: DataFrame) -> DataFrame:
     """Q9: plan_step of lines like `id OPERATION name cost=.. rows=.. bytes=..`."""
-    p = r"(?i)^\s*(\d+)\s+([A-Z][A-Z ]*[A-Z])(?:\s+(\w+))?\s+cost=(\d+)(?:\s+rows=(\d+))?(?:\s+bytes=(\d+))?"
+    p = r"^\s*(\d+)\s+([A-Z]+(?: [A-Z]+)*)(?:\s{2,}(\w+))?\s+cost=(\d+)(?:\s+rows=(\d+))?(?:\s+bytes=(\d+))?"
     rows = plans.select("plan_id", F.explode(T.lines(F.col("content"))).alias("line")).where(F.col("line").rlike(p))
     text = lambda i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
     return rows.select("plan_id", text(1).cast("long").alias("id"), text(2).alias("operation"), text(3).alias("name"), text(5).cast("long").alias("rows"), text(6).cast("long").alias("bytes"), text(4).cast("long").alias("cost"))

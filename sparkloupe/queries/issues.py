@@ -1,0 +1,202 @@
+"""Queries on issues, which are made from events: filters, deduplication, ranking, aggregation, verdicts, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import issues as I
+from ._base import query, table
+
+_SQL = """select cast(user_id % 300 as bigint) as file_id, event_id as seq, case event_type when 'error' then 'critical' when 'signup' then 'high' when 'view' then 'medium' else 'low' end as severity,
+ case event_id % 4 when 0 then 'memory_safety' when 1 then 'security' when 2 then 'data_integrity' else 'code_quality' end as category,
+ case event_id % 11 when 0 then 'Unsafe strcpy' when 1 then 'Missing sqlca check' when 2 then 'Not an issue' when 3 then 'Naming of variables' when 4 then 'Buffer overflow' when 5 then 'Null pointer' else 'Finding ' || (event_id % 7) end as title,
+ case event_id % 6 when 0 then 'In load() a trace is kept' when 1 then 'In save() it is safe' when 2 then 'mpfm_copy(a) may go out of bounds' when 3 then 'See save()' else 'Plain text' || repeat('x', cast(user_id % 5 as int)) end as description,
+ cast(floor(coalesce(value, 0)) as bigint) % 60 as line_start, cast(floor(coalesce(value, 0)) as bigint) % 60 + event_id % 3 as line_end,
+ case event_id % 3 when 0 then 'static_analysis' when 1 then 'llm' else 'hybrid' end as source, case when event_id % 3 = 0 then 'RULE_' || (event_id % 4) end as static_rule,
+ case event_id % 9 when 0 then ' a = 1;' when 1 then '' else 'b' end as before, case event_id % 9 when 0 then 'a = 1; ' when 1 then '' else 'c' end as after from events"""
+_DUCK = f"issue as ({_SQL})"
+_RANK = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end"
+_RESULT = "select distinct c_custkey % 320 as file_id, case when c_custkey % 320 % 97 = 5 then 'failed' end as error from customer"
+
+
+def _issues(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("sparkloupe_events")
+    return spark.sql(_SQL.replace("from events", "from sparkloupe_events"))
+
+
+def _results(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("sparkloupe_customer")
+    return spark.sql(_RESULT.replace("from customer", "from sparkloupe_customer"))
+
+
+def _words(column: str, words) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_FP = f"not ({_words('lower(title)', I.FP_TITLES)} or {_words('lower(description)', I.FP_PHRASES)} or (trim(before) <> '' and trim(before) = trim(after)))"
+_QUIET = f"not {_words('lower(title) || chr(32) || lower(description)', I.NOISE)}"
+
+
+@query(f"with {_DUCK} select * from issue where severity <> 'low'")
+def w1_drop_low(spark, sf_dir):
+    return I.drop_low(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select * from issue where {_FP}")
+def w2_false_positives(spark, sf_dir):
+    return I.drop_false_positives(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select * from issue where {_QUIET}")
+def w3_noise(spark, sf_dir):
+    return I.drop_noise(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK}, t as (select *, lower(title) || ' ' || lower(description) as t from issue) select * exclude (t) from t where not ({_words('t', I.BOUNDS)} and contains(t, 'mpfm_copy('))")
+def w4_safe_bounds(spark, sf_dir):
+    return I.drop_safe_bounds(_issues(spark, sf_dir))
+
+
+_GROUP = "case " + " ".join(f"when {_words('t', w)} then '{n}'" for n, w in I.GROUPS) + " end"
+
+
+def _grouped(source: str) -> str:
+    return f"""grp as (select *, {_GROUP} as g, regexp_extract(description, '(\\w+)\\(\\)', 1) as f from (select *, lower(title) || ' ' || lower(description) as t from {source})),
+ num as (select *, row_number() over (partition by file_id, g, f order by {_RANK} desc, seq) as n, count(*) over (partition by file_id, g, f) as a from grp),
+ merged as (select * exclude (t, g, f, n, a) replace (case when g is not null and a > 1 then title || ' (+' || (a - 1) || ' more)' else title end as title) from num where g is null or n = 1)"""
+
+
+@query(f"with {_DUCK}, {_grouped('issue')} select * from merged")
+def w5_merge_groups(spark, sf_dir):
+    return I.merge_groups(_issues(spark, sf_dir))
+
+
+def _anchored(source: str) -> str:
+    return f"""ord as (select *, row_number() over (partition by file_id, category order by seq) as k from {source}),
+ anc as (select file_id, category, k, seq, seq as anchor_seq, [{{'s': seq, 'l': line_start}}] as open from ord where k = 1
+  union all select o.file_id, o.category, o.k, o.seq, coalesce(list_filter(a.open, lambda c: abs(c.l - o.line_start) <= 3)[1].s, o.seq),
+   case when len(list_filter(a.open, lambda c: abs(c.l - o.line_start) <= 3)) > 0 then a.open else list_append(a.open, {{'s': o.seq, 'l': o.line_start}}) end
+  from anc a join ord o on o.file_id = a.file_id and o.category = a.category and o.k = a.k + 1)"""
+
+
+@query(f"with recursive {_DUCK}, {_anchored('issue')} select file_id, seq, category, anchor_seq from anc")
+def w7_anchors(spark, sf_dir):
+    """The greedy clusters themselves."""
+    return I.anchors(_issues(spark, sf_dir)).select("file_id", "seq", "category", "anchor_seq")
+
+
+_BEST = "row_number() over (partition by file_id, category, anchor_seq order by case source when 'hybrid' then 3 when 'llm' then 2 else 1 end desc, " + _RANK + " desc, length(description) desc, seq) as best"
+
+
+@query(f"with recursive {_DUCK}, {_anchored('issue')}, w as (select i.*, anchor_seq from issue i join anc using (file_id, category, seq)), b as (select *, {_BEST} from w) select * exclude (anchor_seq, best) from b where best = 1")
+def w7_cross_layer_dedup(spark, sf_dir):
+    return I.cross_layer_dedup(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK}, k as (select *, coalesce(static_rule, substr(title, 1, 40)) as key from issue), n as (select *, row_number() over (partition by file_id, line_start, key order by case when source = 'static_analysis' then 0 else 1 end, seq) as n, min(seq) over (partition by file_id, line_start, key) as low from k) select * exclude (key, n, low) replace (low as seq) from n where n = 1")
+def w9_keyed_dedup(spark, sf_dir):
+    return I.keyed_dedup(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select * from issue qualify row_number() over (partition by file_id, line_start, line_end, category, title order by seq) = 1")
+def w10_exact_dedup(spark, sf_dir):
+    return I.exact_dedup(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select *, printf('PC-%03d', row_number() over (partition by file_id order by {_RANK} desc, seq)) as issue_id from issue")
+def w12_renumber(spark, sf_dir):
+    return I.renumber(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK}, p as (select *, row_number() over (partition by file_id, func_name order by {_RANK} desc, seq) as position, count(*) over (partition by file_id, func_name) as all_of_func from (select *, 'fn_' || (line_start // 30) as func_name from issue)) select * from p where position <= 15")
+def w14_top_findings(spark, sf_dir):
+    """W14 and A6."""
+    return I.top_findings(_issues(spark, sf_dir).withColumn("func_name", F.concat(F.lit("fn_"), F.floor(F.col("line_start") / 30).cast("string"))))
+
+
+@query(f"with {_DUCK}, quiet as (select * from issue where {_QUIET}), {_grouped('quiet')} select *, printf('PC-%03d', row_number() over (partition by file_id order by {_RANK} desc, seq)) as issue_id from merged")
+def w20_merge_fallback(spark, sf_dir):
+    return I.merge_fallback(_issues(spark, sf_dir))
+
+
+_MERGED = f"{_DUCK}, quiet as (select * from issue where {_FP} and {_QUIET}), {_grouped('quiet')}, {_anchored('merged')}, w as (select i.*, anchor_seq from merged i join anc using (file_id, category, seq)), b as (select *, {_BEST} from w), final as (select * exclude (anchor_seq, best), printf('PC-%03d', row_number() over (partition by file_id order by {_RANK} desc, seq)) as issue_id from b where best = 1)"
+
+
+@query(f"with recursive {_MERGED} select * from final")
+def w21_merge(spark, sf_dir):
+    return I.merge(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in I.SEVERITY_RANK) + " from issue")
+def a1_severity_histogram(spark, sf_dir):
+    return I.severity_histogram(_issues(spark, sf_dir))
+
+
+@query(f"with {_DUCK} select 'severity' as dimension, severity as value, count(*) as n from issue group by all union all select 'category', category, count(*) from issue group by all union all select 'file_id', file_id::varchar, count(*) from issue group by all union all select 'total', '', count(*) from issue")
+def a2_summary(spark, sf_dir):
+    return I.summary(_issues(spark, sf_dir), "severity", "category", "file_id")
+
+
+_COUNTS = ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in I.SEVERITY_RANK)
+
+
+@query(f"with {_DUCK}, c as (select {_COUNTS} from issue), e as (select count(error) as errors, count(*) as files from ({_RESULT})) select files, errors, critical, high, medium, low, case when errors > 0 then 'UNABLE_TO_ANALYZE' when critical > 0 then 'CRITICAL' when high >= 3 then 'HIGH' when high >= 1 then 'MEDIUM' else 'LOW' end as risk, case when critical > 0 then 1 when errors > 0 then 3 else 0 end as exit_code from c, e")
+def a3_overall_risk(spark, sf_dir):
+    """A3, A10 and A14."""
+    return I.overall_risk(_results(spark, sf_dir), _issues(spark, sf_dir))
+
+
+_FILE_RISK = f"c as (select file_id, {_COUNTS} from issue where seq % 8 = 0 group by file_id), r as (select r.file_id, error, " + ", ".join(f"case when error is not null then 0 else coalesce({s}, 0) end as {s}" for s in I.SEVERITY_RANK) + f" from ({_RESULT}) r left join c using (file_id)), v as (select *, case when error is not null then 'UNABLE_TO_ANALYZE' when critical > 0 then 'CRITICAL' when high >= 3 then 'HIGH' when high >= 1 then 'MEDIUM' else 'LOW' end as risk from r)"
+
+
+@query(f"with {_DUCK}, {_FILE_RISK} select file_id, critical, high, medium, low, risk, risk not in ('UNABLE_TO_ANALYZE', 'CRITICAL') as allowed from v")
+def a4_file_risk(spark, sf_dir):
+    return I.file_risk(_results(spark, sf_dir), _issues(spark, sf_dir).where("seq % 8 = 0"))
+
+
+@query(f"with {_DUCK} select category, file_id, count(*) as n, max_by(severity, {_RANK}) as severity, min_by(title, seq) as first_title from issue where severity in ('critical', 'high') group by all")
+def a8_checklist(spark, sf_dir):
+    return I.checklist(_issues(spark, sf_dir))
+
+
+_FILE = "select p_partkey as file_id, 'src/f' || p_partkey || case p_size % 6 when 0 then '.js' when 1 then '.c' when 2 then '.h' when 3 then '.pc' when 4 then '.sql' else '.xml' end as path, case when p_partkey % 2 = 0 then '/* Module code */' else '/* screen */' end as first_line, cast(p_size * 10 as bigint) as line_count from part"
+
+
+def _paths(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("sparkloupe_part")
+    return spark.sql(_FILE.replace("from part", "from sparkloupe_part"))
+
+
+@query(f"with f as ({_FILE}) select case when path like '%.xml' or path like '%.js' then 'screen' when path like '%.c' and lower(first_line) like '%module%' then 'module' when path like '%.c' then 'tp' when path like '%.h' then 'module' when path like '%.pc' then 'batch' else 'dbio' end as section, count(*) as files from f group by 1")
+def a9_deployment_sections(spark, sf_dir):
+    return I.deployment_sections(_paths(spark, sf_dir))
+
+
+@query(f"with f as (select *, case regexp_extract(path, '\\.(\\w+)$', 1) when 'js' then 'javascript' when 'c' then 'c' when 'h' then 'c' when 'pc' then 'proc' else regexp_extract(path, '\\.(\\w+)$', 1) end as language from ({_FILE})), s as (select *, case language when 'javascript' then 15 when 'c' then 20 when 'proc' then 25 else 10 end as sec from f) select coalesce(language, '(all)') as language, count(*) as files, sum(line_count)::bigint as lines, sum(sec)::bigint as seconds from s group by rollup (language)")
+def a11_estimated_seconds(spark, sf_dir):
+    """S7, A10 and A11."""
+    from ..sources.files import with_language
+
+    return I.estimated_seconds(with_language(_paths(spark, sf_dir)))
+
+
+@query(f"with recursive {_MERGED} select file_id, '# Report: ' || file_id || chr(10) || chr(10) || '| id | severity | line | title |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || issue_id || ' | ' || severity || ' | ' || line_start || ' | ' || title || ' |', chr(10) order by issue_id) as markdown from final group by file_id")
+def o1_markdown(spark, sf_dir):
+    return I.markdown(I.merge(_issues(spark, sf_dir)))
+
+
+@query(f"with recursive {_MERGED} select file_id, '{{\"file_id\":' || file_id || ',\"total\":' || count(*) || ',\"issues\":[' || string_agg('{{\"issue_id\":\"' || issue_id || '\",\"severity\":\"' || severity || '\",\"category\":\"' || category || '\",\"title\":\"' || title || '\",\"location\":{{\"line_start\":' || line_start || ',\"line_end\":' || line_end || '}}}}', ',' order by issue_id) || ']}}' as document from final group by file_id")
+def o3_json_report(spark, sf_dir):
+    return I.json_report(I.merge(_issues(spark, sf_dir)))
+
+
+@query("select p_partkey as node, cast(floor(log2(greatest(p_partkey, 1))) as int) as level, false as cyclic from part union all select 1000000001, cast(floor(log2(max(p_partkey))) + 1 as int), true from part union all select 1000000002, cast(floor(log2(max(p_partkey))) + 1 as int), true from part")
+def h3_topological_levels(spark, sf_dir):
+    """H1 to H3: every part depends on the part of half its number; two more nodes depend on each other."""
+    from ..sources.files import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    part = table(spark, sf_dir, "part")
+    cycle = spark.createDataFrame([(1000000001, 1000000002), (1000000002, 1000000001)], "src long, dst long")
+    edges = part.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst")).union(cycle)
+    return I.topological_levels(part.select(F.col("p_partkey").alias("node")).union(cycle.select("src")), edges)

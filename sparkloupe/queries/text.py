@@ -1,0 +1,141 @@
+"""Queries straight on documents, pages and conversations: personal data, verdicts, markup, masking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import issues as I
+from ..operators import markup as M
+from ..operators import pii as P
+from ..operators import search as S
+from ..operators import structure as X
+from ..sources.files import first_line
+from ._base import PROC_DUCK, proc_lines, query, table
+
+_RULES = [(i, r, s, p) for i, (r, s, p, _, _) in enumerate(P.RULES + P.SECRETS) if r in ("email", "aws_key", "github_token", "jwt", "google_key", "stripe_key", "password")]
+_FOUND = " union all ".join(f"select doc_id, '{r}' as rule, '{s}' as severity, start, start + length(m[i]) as \"end\", m[i] as value from (select doc_id, m, i, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as start from (select doc_id, p, m, unnest(range(1, len(m) + 1)) as i from (select doc_id, string_split_regex(text, $r${p}$r$) as p, regexp_extract_all(text, $r${p}$r$) as m from documents where text is not null)))" for _, r, s, p in _RULES)
+_FINDING = f"finding as ({_FOUND})"
+
+
+def _findings(spark, sf_dir):
+    return P.scan(table(spark, sf_dir, "documents"), P.RULES + P.SECRETS)
+
+
+@query(f"with {_FINDING} select * from finding")
+def d1_pii_findings(spark, sf_dir):
+    """Personal data and secrets with their places; the SQL has the rules without lookaround, the
+    others have no match in documents."""
+    return _findings(spark, sf_dir)
+
+
+@query(f"with {_FINDING} select f.doc_id, rule, start, length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1 as line_no, length(string_split(substr(text, 1, start), chr(10))[-1]) + 1 as column_no from finding f join documents d using (doc_id)")
+def d4_positions(spark, sf_dir):
+    return P.positions(_findings(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@query(f"with {_FINDING} select doc_id, rule, substr(value, 1, greatest(2, length(value) // 4)) || repeat('*', length(value) - greatest(2, length(value) // 4)) as shown, case when length(value) % 2 = 1 then substr(value, 1, length(value) // 2) || '*' || substr(value, length(value) // 2 + 2) else substr(value, 1, length(value) // 2 - 1) || '**' || substr(value, length(value) // 2 + 2) end as centre from finding")
+def d5_display_masks(spark, sf_dir):
+    """D5 and D7."""
+    f = _findings(spark, sf_dir)
+    return f.select("doc_id", "rule", P.display_mask(F.col("value")).alias("shown"), P.centre_mask(F.col("value")).alias("centre"))
+
+
+def _masked(column: str, pattern: str) -> str:
+    return f"array_to_string(list_transform(range(1, len(string_split_regex({column}, $r${pattern}$r$)) + 1), lambda i: string_split_regex({column}, $r${pattern}$r$)[i] || coalesce(repeat('*', length(regexp_extract_all({column}, $r${pattern}$r$)[i])), '')), '')"
+
+
+_EMAIL, _PASSWORD = (next(p for r, _, p, _, _ in P.RULES + P.SECRETS if r == n) for n in ("email", "password"))
+
+
+@query(f"with e as (select doc_id, {_masked('text', _EMAIL)} as text from documents where text is not null) select doc_id, {_masked('text', _PASSWORD)} as masked from e")
+def d6_masked_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.masked_text(F.col("text")).alias("masked"))
+
+
+_RISK = f"with {_FINDING}, c as (select doc_id, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in ("critical", "high", "medium", "low")) + " from finding where severity <> 'low' group by doc_id), r as (select d.doc_id as file_id, " + ", ".join(f"case when text is null then 0 else coalesce({s}, 0) end as {s}" for s in ("critical", "high", "medium", "low")) + ", text is null as failed from documents d left join c using (doc_id)), v as (select *, case when failed then 'UNABLE_TO_ANALYZE' when critical > 0 then 'CRITICAL' when high >= 3 then 'HIGH' when high >= 1 then 'MEDIUM' else 'LOW' end as risk from r) select file_id, critical, high, medium, low, risk, risk not in ('UNABLE_TO_ANALYZE', 'CRITICAL') as allowed from v"
+
+
+@query(_RISK)
+def risk_verdict_documents(spark, sf_dir):
+    """The flagship: which documents must not ship. Scan, drop low findings, verdict for each document (A4)."""
+    docs = table(spark, sf_dir, "documents")
+    found = I.drop_low(_findings(spark, sf_dir).withColumnRenamed("doc_id", "file_id"))
+    results = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("text").isNull(), F.lit("no text")).alias("error"))
+    return I.file_risk(results, found)
+
+
+@query("select page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') as html from pages")
+def p5_strip_xml(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_xml(F.col("html")).alias("html"))
+
+
+@query("""with m as (select doc_id, string_split_regex(text, '[0-9]{6,}') as p, regexp_extract_all(text, '[0-9]{6,}') as m from documents where text is not null)
+ select doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(substr(m[i], 1, 1) || repeat('0', length(m[i]) - 1), '')), '') as masked from m""")
+def p11_mask_digits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.mask_digits(F.col("text")).alias("masked"))
+
+
+@query("select doc_id, string_split(text, chr(10))[1] as first_line from documents where text is not null")
+def s8_first_line(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", first_line(F.col("text")).alias("first_line"))
+
+
+@query("select page_id as file_id, 1::bigint as script_no, 1::bigint as line_no, regexp_extract(html, '(?is)<script>(.*?)</script>', 1) as body from pages where regexp_matches(html, '(?is)<script>(.*?)</script>')")
+def x22_inline_scripts(spark, sf_dir):
+    return M.inline_scripts(table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content")))
+
+
+@query("select page_id as file_id, 'refused: DOCTYPE or ENTITY' as error from pages")
+def x21_markup_gate(spark, sf_dir):
+    """Every page has a DOCTYPE, so every page is refused."""
+    return M.parsed(table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content"))).select("file_id", "x.error")
+
+
+def _screens(spark, sf_dir):
+    """A screen definition for each customer, with a list, columns, components and events."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    content = F.concat(F.lit('<?xml version="1.0"?>\n<screen id="s'), k, F.lit('">\n<dataList id="dl'), (F.col("c_custkey") % 3).cast("string"), F.lit('">\n<column id="a" name="A" dataType="text"/>\n<column id="b" name="B" dataType="number"/>\n</dataList>\n<input id="i'), (F.col("c_custkey") % 2).cast("string"), F.lit('" ev:onclick="scwin.f'), (F.col("c_custkey") % 4).cast("string"), F.lit('(1)" xmlns:ev="e"/>\n<input id="i0"/>\n</screen>'))
+    return M.parsed(c.select(F.col("c_custkey").alias("file_id"), content.alias("content")))
+
+
+@query("select c_custkey as file_id, 'dl' || c_custkey % 3 as list_id, c as column_id, upper(c) as name, case c when 'a' then 'text' else 'number' end as data_type, case c when 'a' then 4 else 5 end::bigint as line from customer, (values ('a'), ('b')) v(c)")
+def x18_data_lists(spark, sf_dir):
+    return M.xml_columns(_screens(spark, sf_dir))
+
+
+@query("select c_custkey as file_id, 'i' || c_custkey % 2 as id, 'onclick' as event, 'f' || c_custkey % 4 as functions, 7::bigint as line from customer")
+def x19_events(spark, sf_dir):
+    """X17 and X19."""
+    return M.xml_events(_screens(spark, sf_dir)).select("file_id", "id", "event", F.array_join("functions", ",").alias("functions"), "line")
+
+
+@query("select c_custkey as file_id, 'i0' as id, 2::bigint as n, '7,8' as lines from customer where c_custkey % 2 = 0")
+def x20_duplicate_ids(spark, sf_dir):
+    return M.duplicate_ids(_screens(spark, sf_dir))
+
+
+@query("select c_custkey as file_id, 'f3' as name, 7::bigint as line from customer where c_custkey % 4 = 3")
+def j13_missing_handlers(spark, sf_dir):
+    rows = _screens(spark, sf_dir)
+    calls = rows.select("file_id", F.explode(F.array(*[F.lit(f"f{i}") for i in range(3)])).alias("name"))
+    return M.handlers_without_script(M.xml_events(rows), calls)
+
+
+@query(f"with {PROC_DUCK}, d as (select file_id, line_no, floor((line_no - 1) / 8) as fn from source_line where raw like '%int cnt;'), u as (select d.file_id, d.line_no, min_by(s.raw, s.line_no) as raw, 'fn_' || cast(d.fn + 1 as bigint) as func_name from d join source_line s on s.file_id = d.file_id and floor((s.line_no - 1) / 8) = d.fn and s.line_no > d.line_no and regexp_matches(s.raw, '\\bcnt\\b') group by d.file_id, d.line_no, d.fn) select file_id, func_name, 'cnt' as variable, line_no from u where not regexp_matches(raw, '\\bcnt\\s*=[^=]')")
+def c1_uninitialised(spark, sf_dir):
+    lines = proc_lines(spark, sf_dir)
+    return M.uninitialised(lines, X.function_spans(S.source_files(lines)))
+
+
+@query(f"with {PROC_DUCK} select file_id, line_no as line, 'printf' as function, 2::bigint as conversions, 1::bigint as arguments from source_line where raw like '%printf(\"%'")
+def c10_format_mismatch(spark, sf_dir):
+    """C10, with a second conversion put into every printf."""
+    lines = proc_lines(spark, sf_dir).withColumn("raw", F.replace(F.col("raw"), F.lit('printf("%d"'), F.lit('printf("%d 100%% %s"')))
+    return M.format_mismatches(S.source_files(lines)).where("function = 'printf'")
+
+
+@query("select conv_id, turn, length(text) // 4 as tokens from conversations where text is not null")
+def p14_conversation_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"))
