@@ -26,7 +26,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 #: Generators of candidates, (kind, guard, pattern).
 GENERATORS = (
-    ("contact_like", r"(?i)\bat\b|@", r"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]{0,63} ?(?:@|\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{2,63}){1,4}"),
+    ("contact_like", r"(?i)\bat\b|@", r"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]{0,63} ?(?:@|\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[a-z0-9-]{2,63}){1,4}"),
     ("phone_like", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("phone_like", r"[0-9]{2}[ .-][0-9]{2}[ .-][0-9]{2}", r"(?<![0-9])(?:\+[0-9]{2} ?)?\(?0?[0-9]{1,2}\)?(?:[ .-][0-9]{2}){4}(?![0-9])"),
     ("card_like", r"[0-9]{4}[ -]?[0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
