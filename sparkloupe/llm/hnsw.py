@@ -257,3 +257,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), THRESHOLD, "op1")
+
+
+ORACLE = f"""
+    with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    link as (select a.vec_id as i, b.vec_id as j from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+    reach as (select vec_id as i, vec_id as j from v union select r.i, l.j from reach r join link l on l.i = r.j),
+    low as (select i, min(j) as component_id from reach group by i),
+    n as (select i, count(*) as n_links from link group by i)
+    select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept from v join low on low.i = v.vec_id left join n on n.i = v.vec_id"""

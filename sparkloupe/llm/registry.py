@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op1_hnsw": hnsw.ORACLE,
     "op3_warc": warc.ORACLE,
     "op8_secrets": secrets.ORACLE,
 }
