@@ -165,3 +165,25 @@ def test_structural_search_and_grep(spark):
     assert [tuple(r) for r in S.structural_search(lines, "sql", "select_star").collect()] == [(1, 1, "select_star", "*")]
     assert [tuple(r) for r in S.structural_search(lines, custom="(F\\w+)").collect()] == [(1, 1, "custom", "FROM")]
     assert [tuple(r) for r in S.grep(lines, "FR").collect()] == [(1, 1, "SELECT * FROM t", "FR", 11, 13)]
+
+
+def test_streams(spark, tmp_path):
+    from sparkloupe.streaming.text_stream import distinct_findings, pii_stream
+
+    spark.createDataFrame([(1, "write to a.b@c.org"), (2, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    docs = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    rows = distinct_findings(pii_stream(docs).withColumn("at", F.current_timestamp()), ["doc_id", "rule"], "at")
+    q = rows.writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["doc_id"], r["rule"]) for r in spark.table("found").collect()] == [(1, "email")]
+
+
+def test_plans(spark):
+    from sparkloupe.plans import verdict
+
+    docs = spark.createDataFrame([(1, 'token = "abcdef"'), (2, None), (3, "x")], "doc_id long, text string")
+    assert {r["file_id"]: r["risk"] for r in verdict.document_verdicts(docs).collect()} == {1: "MEDIUM", 2: "UNABLE_TO_ANALYZE", 3: "LOW"}
+    files = spark.createDataFrame([(1, "int f()\n{\nEXEC SQL OPEN c;\nstrcpy(a, b);\nEXEC SQL UPDATE t SET a = 1;\n}")], "file_id long, content string")
+    got = {r["rule_id"] for r in verdict.embedded_sql_findings(files).collect()}
+    assert got == {"SQL_CURSOR_CLOSE_MISSING", "SQL_CURSOR_FETCH_MISSING", "CROSS_CURSOR_INCOMPLETE", "UNSAFE_FUNC", "SQL_SQLCA_MISSING", "SQL_COMMIT_MISSING"}
