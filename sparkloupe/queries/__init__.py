@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import issues, plans, source, text
+from . import context, issues, plans, source, text
 from ._base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "issues", "plans", "source", "text"]
+__all__ = ["ORACLES", "QUERIES", "context", "issues", "plans", "source", "text"]
