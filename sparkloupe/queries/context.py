@@ -204,3 +204,52 @@ def s9_eslint(spark, sf_dir):
 def s14_response_text(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     return TO.response_text(rows.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.to_json(F.struct(F.concat(F.col("turn").cast("string"), F.lit(";")).alias("token"))).alias("raw")))
+
+
+@query("with t as (select p_partkey as file_id, p_size % 2 as k, case p_size % 3 when 0 then 'int' when 1 then 'char[20]' else 'VARCHAR' end as c_type from part) select file_id, 'v1' as name, case k when 0 then 'TO_NUMBER' else 'TO_CHAR' end as context, c_type, 1::bigint as line_no from t where (k = 0) = (c_type = 'int')")
+def k2_type_mismatches(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    sql = F.concat(F.lit("SELECT "), F.when(size % 2 == 0, "TO_NUMBER").otherwise("TO_CHAR"), F.lit("(:v1) INTO :v2 FROM t"))
+    blocks = part.select(F.col("p_partkey").alias("file_id"), sql.alias("sql_text"), F.lit(1).cast("long").alias("line_start"))
+    kind = F.when(size % 3 == 0, "int").when(size % 3 == 1, "char[20]").otherwise("VARCHAR")
+    return E.type_mismatches(blocks, part.select(F.col("p_partkey").alias("file_id"), F.lit("v1").alias("name"), kind.alias("c_type")))
+
+
+@query("select p_partkey as file_id, p_size::bigint as line, case p_size % 3 when 2 then null else 'PCC-S-0220' || p_size % 3 end as code from part")
+def s11_precompiler(spark, sf_dir):
+    """A code, unless the size leaves 2 by 3, then a position."""
+    size = F.col("p_size")
+    code = F.when(size % 3 == 2, "nothing").otherwise(F.concat(F.lit("PCC-S-0220"), (size % 3).cast("string"), F.lit(", bad")))
+    at = F.concat(F.lit("Semantic error at line "), size.cast("string"), F.lit(", column 3"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.posexplode(F.array(code, at)).alias("line_no", "raw"))
+    return TO.precompiler(rows)
+
+
+@query("with f as (select 'd' || p_size % 5 || '/' || p_brand || '.c' as path from part), l as (select distinct path from f), n as (select distinct p_brand || '.c' as name from part union select 'none.c') select name, case when count(path) = 1 then min(path) end as path, case when count(path) = 0 then 'missing' when count(path) > 1 then 'ambiguous' end as error from n left join l on ends_with(path, '/' || name) group by name")
+def s5_resolve_inputs(spark, sf_dir):
+    from ..sources.files import resolve_inputs
+
+    part = table(spark, sf_dir, "part")
+    listing = part.select(F.concat(F.lit("d"), (F.col("p_size") % 5).cast("string"), F.lit("/"), "p_brand", F.lit(".c")).alias("path")).distinct()
+    names = part.select(F.concat("p_brand", F.lit(".c")).alias("name")).union(spark.createDataFrame([("none.c",)], "name string")).distinct()
+    return resolve_inputs(names, listing)
+
+
+@query("with r as (select p_partkey as seq, 'f' || p_size || case p_size % 3 when 0 then '.c' when 1 then '.txt' else '.sql' end as path, p_size from part qualify row_number() over (partition by p_size order by p_partkey) = 1) select seq, path, case p_size % 3 when 0 then 'c' when 2 then 'sql' end as language, case when p_size % 4 = 1 then 'missing' when p_size % 4 = 2 then 'not a file' when p_size % 4 = 3 and p_size % 8 = 3 then 'not readable' when p_size % 3 = 1 then 'unsupported extension' end as reason from r")
+def s6_validate(spark, sf_dir):
+    from ..sources.files import validate
+
+    part, size = table(spark, sf_dir, "part"), F.col("p_size")
+    path = F.concat(F.lit("f"), size.cast("string"), F.when(size % 3 == 0, ".c").when(size % 3 == 1, ".txt").otherwise(".sql"))
+    listing = part.where(size % 4 != 1).select(path.alias("path"), (size % 4 != 2).alias("is_file"), (size % 8 != 3).alias("readable")).distinct()
+    return validate(part.select(F.col("p_partkey").alias("seq"), path.alias("path")), listing)
+
+
+@query("select p_partkey as doc_id, 'f' || p_partkey || '.' || lower(p_brand) as path, null::varchar as language from part where false union all select p_partkey, 'f' || p_partkey || case p_size % 4 when 0 then '.JS' when 1 then '.h' when 2 then '.pc' else '.md' end, case p_size % 4 when 0 then 'javascript' when 1 then 'c' when 2 then 'proc' end from part")
+def s7_language(spark, sf_dir):
+    from ..sources.files import with_language
+
+    size = F.col("p_size")
+    path = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(size % 4 == 0, ".JS").when(size % 4 == 1, ".h").when(size % 4 == 2, ".pc").otherwise(".md"))
+    return with_language(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), path.alias("path")))
