@@ -134,7 +134,8 @@ def mix(spark: SparkSession, docs: DataFrame, name: str = "mix", block: int = BL
     pieces = runs_df.select("source_no", "blocks", "first", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(SLOTS).cast("long"))).alias("skip"))
     pieces = pieces.select("source_no", "blocks", (F.col("first") + F.col("skip")).alias("first"), F.least(F.col("count") - F.col("skip"), F.lit(SLOTS)).cast("long").alias("count"))
     used = pieces.repartition("source_no", "first").mapInArrow(_slots, "source_no int, block long, used long").groupBy("source_no", "block").agg(F.sum("used").alias("used"))
-    taken = parts.join(used, ["source_no", "block"]).groupBy("source_no", "bucket", "nr").agg(F.sum(F.col("words") * F.col("used")).alias("taken"))
+    # used comes from a small local table, so its estimate is small and it would be broadcast
+    taken = parts.join(used.hint("merge"), ["source_no", "block"]).groupBy("source_no", "bucket", "nr").agg(F.sum(F.col("words") * F.col("used")).alias("taken"))
     out = rows.join(taken, ["source_no", "bucket", "nr"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
