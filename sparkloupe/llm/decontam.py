@@ -126,8 +126,9 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str = "de
     pairs = None
     for block in range(blocks):
         part = known.where(F.pmod("hash", F.lit(blocks)) == block)
-        keys = part.select("size", "hash").distinct().collect()  # BLOCK rows or about that
-        by_size = {size: np.sort(np.array([r["hash"] for r in keys if r["size"] == size], "i8").view("u8")) for size in {r["size"] for r in keys}}
+        keys = part.select("size", "hash").distinct().toArrow()  # BLOCK rows of 12 bytes, or about that
+        sizes, hashes = keys.column("size").to_numpy(), keys.column("hash").to_numpy().astype("i8").view("u8")
+        by_size = {int(size): np.sort(hashes[sizes == size]) for size in np.unique(sizes)}
         shared = spark.sparkContext.broadcast(by_size)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
