@@ -38,16 +38,21 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """A dictionary for each non-null lang among the rows of docs(doc_id, text, lang) where `learn` holds.
 
-    Texts are drawn by a hash of doc_id and text, so the draw doesn't depend on order or partitions. The row limit
-    for each language is applied before the shuffle, too (Spark's window group limit). Languages whose texts are all
-    empty aren't learned. The most frequent language comes first, which settles ties.
+    Texts are drawn by a hash of doc_id and text, so the draw doesn't depend on order or partitions. Of a language
+    with n texts, about 2 * SAMPLE have a hash small enough to leave the scan, and the SAMPLE smallest are drawn.
+    Languages whose texts are all empty aren't learned. The most frequent language comes first, which settles ties.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"lang has over {LANGUAGES} values")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    drawn = known.where(F.length("text") <= LONGEST).select("lang", "text", F.row_number().over(order).alias("at")).where(F.col("at") <= SAMPLE)
+    if not counts:
+        return {}
+    place = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
+    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min((1 << 62) - 1, (2 * SAMPLE << 62) // n))])
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    few = known.where(F.length("text") <= LONGEST).select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") <= least[F.col("lang")])
+    drawn = few.select("lang", "text", F.row_number().over(order).alias("at")).where(F.col("at") <= SAMPLE)
     texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for row in drawn.orderBy("lang", "at").toLocalIterator():
         texts[row["lang"]].append(letters(row["text"]))
