@@ -115,6 +115,30 @@ def test_near_groups_find_similar_texts_only(spark):
     assert len(simhash.similar_groups(spark, documents(spark, WEIRD)).collect()) == len(WEIRD)
 
 
+
+@pytest.mark.parametrize("group", [4, 512])
+def test_near_groups_of_families_against_brute_force(spark, monkeypatch, group):
+    """Families of related texts, of which some pairs are similar enough: no pair of a bucket is left untested."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(900)}" for _ in range(220)]
+        for _ in range(25):
+            t = list(base)
+            for at in rng.sample(range(len(t)), rng.choice((2, 5, 8, 14))):
+                t[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    sets = [set(simhash.hashes(t.encode(), 5, True).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert len(set(want)) > 8 and got == dict(enumerate(want))
+
 # Repeated byte strings
 
 
