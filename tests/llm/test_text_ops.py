@@ -139,6 +139,33 @@ def test_near_groups_of_families_against_brute_force(spark, monkeypatch, group):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert len(set(want)) > 8 and got == dict(enumerate(want))
 
+
+def _near_pairs(rng, n):
+    """Pairs of texts whose sets of five-word shingles are 0.8 to 0.9 similar: words changed, appended or cut."""
+    out = []
+    for i in range(n):
+        a = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(120, 400))]
+        if i % 3 == 0:
+            b = a + [f"w{rng.randrange(4000)}" for _ in range(len(a) // 5 - 2)]
+        elif i % 3 == 1:
+            b = a[: len(a) - len(a) // 6]
+        else:
+            b = list(a)
+            for at in rng.sample(range(len(b)), len(b) // 55):
+                b[at] = "changed"
+        x, y = (set(simhash.hashes(" ".join(t).encode(), 5, True).tolist()) for t in (a, b))
+        if len(x & y) / len(x | y) >= 0.8:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_near_groups_find_every_pair_over_the_similarity(spark):
+    rng = random.Random(12)
+    pairs = _near_pairs(rng, 150)
+    rows = [(2 * i + j, t, "en", "a") for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
+    assert len(pairs) > 120 and got == {i: i - i % 2 for i in range(len(rows))}
+
 # Repeated byte strings
 
 
