@@ -4,7 +4,7 @@ Each language's dictionary is raw text of that language; a text is encoded with
 the smallest encoding names the language. The margin is the relative distance to the second smallest.
 
 Scale: the dictionaries are the only state, `DICTIONARY` bytes for each of at most `LANGUAGES` languages, fitted on
-at most `SAMPLE` labelled texts of each. Prediction is one pass without a shuffle.
+at most `SAMPLE` pieces of labelled texts of each. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._shared import tune
 
-#: Bounds of the fitted sample: texts a language, characters of a text that can be drawn, bytes of a dictionary.
+#: Bounds of the fitted sample: pieces a language, characters of a piece (longer texts are several), bytes of a dictionary.
 SAMPLE, LONGEST, DICTIONARY = 400, 20_000, 110 << 10
 LANGUAGES = 512
 LEVEL = 6
@@ -38,26 +38,31 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """A dictionary for each non-null lang among the rows of docs(doc_id, text, lang) where `learn` holds.
 
-    Texts are drawn by a hash of doc_id and text, so the draw doesn't depend on order or partitions. Of a language
-    with n texts, about 2 * SAMPLE have a hash small enough to leave the scan, and the SAMPLE smallest are drawn.
-    Languages whose texts are all empty aren't learned. The most frequent language comes first, which settles ties.
+    Texts over LONGEST characters are cut into pieces. Pieces are drawn by a hash of doc_id, text and place, so the
+    draw doesn't depend on order or partitions. Of a language with n pieces, about 2 * SAMPLE have a hash small enough
+    to leave the scan, and the SAMPLE smallest are drawn. Each language has a dictionary of its own size, whatever
+    the others have. Languages with under 8 bytes of letters aren't learned. The most frequent language comes first,
+    which settles ties.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
+    pieces = F.ceil(F.length("text") / LONGEST).cast("long")
+    counts = {r["lang"]: r["pieces"] for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(pieces).alias("pieces")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"lang has over {LANGUAGES} values")
     if not counts:
         return {}
-    place = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
     least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min((1 << 62) - 1, (2 * SAMPLE << 62) // n))])
+    hashed = known.select("lang", "text", "doc_id", F.xxhash64("doc_id", "text").alias("hash"), pieces.alias("pieces"))
+    placed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda i: F.struct(F.when(i == 0, F.col("hash")).otherwise(F.xxhash64("hash", i)).bitwiseAND((1 << 62) - 1).alias("place"), i.alias("i")))
+    near = F.filter(placed, lambda p: p["place"] <= least[F.col("lang")])
+    cut = F.transform(near, lambda p: F.struct(p["place"].alias("place"), F.substr("text", (p["i"] * LONGEST + 1).cast("int"), F.lit(LONGEST)).alias("text")))
+    few = hashed.select("lang", "doc_id", F.explode(cut).alias("p")).select("lang", "doc_id", "p.place", "p.text")
     order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
-    few = known.where(F.length("text") <= LONGEST).select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") <= least[F.col("lang")])
     drawn = few.select("lang", "text", F.row_number().over(order).alias("at")).where(F.col("at") <= SAMPLE)
     texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for row in drawn.orderBy("lang", "at").toLocalIterator():
         texts[row["lang"]].append(letters(row["text"]))
-    size = min([DICTIONARY, *(n for n in (sum(map(len, t)) + len(t) for t in texts.values()) if n >= 8)])
-    out = {lang: b"\n".join(t)[:size] for lang, t in texts.items()}
+    out = {lang: b"\n".join(t)[:DICTIONARY] for lang, t in texts.items()}
     return {lang: data for lang, data in out.items() if len(data) >= 8}
 
 

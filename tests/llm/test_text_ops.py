@@ -243,6 +243,28 @@ def test_language_weird_rows(spark):
     assert docs.select(language_id.predictor(spark, {})("text").alias("p")).where("p.lang <> 'und'").count() == 0
 
 
+
+def _languages(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    return docs.orderBy("doc_id").limit(n)
+
+
+def test_language_of_one_stray_text_leaves_the_others_alone(spark):
+    tune(spark)
+    docs = _languages(spark, 400)
+    stray = docs.union(spark.createDataFrame([(10**9, "zq xv kw jj qq", "zz")], docs.schema))
+    alone, beside = (language_id.fit(d, F.lit(True)) for d in (docs, stray))
+    assert {k: v for k, v in beside.items() if k != "zz"} == alone and len(beside["zz"]) == 14
+    rows = docs.select("lang", language_id.predictor(spark, beside)("text").alias("p")).where("p.lang <> 'und'").collect()
+    assert sum(r["lang"] == r["p"]["lang"] for r in rows) / len(rows) > 0.97
+
+
+def test_language_with_long_texts_only_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(1, words(rng, 9000), "aa", "a"), (2, "the short text of another language", "bb", "a")]
+    assert len(rows[0][1]) > language_id.LONGEST
+    assert set(language_id.fit(documents(spark, rows), F.lit(True))) == {"aa", "bb"}
+
 # Secrets
 
 
