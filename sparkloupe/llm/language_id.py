@@ -22,6 +22,8 @@ from ._shared import tune
 SAMPLE, LONGEST, DICTIONARY = 400, 20_000, 110 << 10
 LANGUAGES = 512
 LEVEL = 6
+#: Bytes that are encoded at once: a dictionary saves a bounded number of bytes, so the sizes of a text's pieces are added up.
+PIECE = 32 << 10
 #: Levels at which a text with a narrow margin is encoded again; the sizes are added up.
 CLOSE_LEVELS = (1, 3, 12, 19)
 #: Relative margins below this are narrow; rejected if narrow after the second look.
@@ -78,7 +80,8 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes], margin: float
                 dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 dictionary.precompute_compress(level=level)
                 state[level].append(zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return [len(encoder.compress(data)) for encoder in state[level]]
+        parts = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        return [sum(len(encoder.compress(part)) for part in parts) for encoder in state[level]]
 
     def decide(found: list[int]) -> tuple[str, float, bool]:
         best = min(range(len(found)), key=found.__getitem__)

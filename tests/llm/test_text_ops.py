@@ -265,6 +265,17 @@ def test_language_with_long_texts_only_is_learned(spark):
     assert len(rows[0][1]) > language_id.LONGEST
     assert set(language_id.fit(documents(spark, rows), F.lit(True))) == {"aa", "bb"}
 
+
+def test_language_margin_does_not_fall_with_length(spark):
+    tune(spark)
+    dictionaries = language_id.fit(_languages(spark, 400), F.lit(True))
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and text is not null").orderBy("doc_id").select("text").limit(3000).collect()
+    whole = "\n".join(r["text"] for r in big)[:5_000_000]
+    assert len(whole) > 4_000_000
+    docs = spark.createDataFrame([(1, whole[:100_000]), (2, whole)], "doc_id long, text string")
+    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", language_id.predictor(spark, dictionaries)("text").alias("p")).collect()}
+    assert all(p["lang"] == "en" and not p["rejected"] for p in got.values()) and got[2]["score"] > got[1]["score"] / 2
+
 # Secrets
 
 
