@@ -3,8 +3,9 @@
 Words become tokens; numbers, units and names become typed placeholders and leave their values in slots. Windows of
 `WINDOW` tokens of documents and benchmark items are joined by hash, and the matches of a document and an item with
 the same shift between their positions are checked for slot consistency: equal values of the item must have become
-equal values of the document, and different ones different. That catches questions asked again with other numbers
-or names, and leaves alone texts that only share a form.
+equal values of the document. That catches questions asked again with other numbers or names, and leaves alone texts
+that only share a form. Windows of an item with too few plain words for that are joined by their lower-cased words,
+so that items of numbers, units and names are found where they are copied.
 
 Scale: documents are read once, whole, without a shuffle; a document's windows leave the scan only where their hash is
 one of the benchmark's. The benchmark is broadcast in blocks of `BLOCK` windows, with a pass for each block, so no
@@ -61,18 +62,40 @@ class Tokens(dict):
         return out
 
 
-def canonical(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hashes, kinds, words) of the tokens of a text; a name that starts a sentence is a word, as any word can."""
+def canonical(text: str, tokens: Tokens, exact: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """(hashes, kinds, words, own, plain) of the tokens of a text; a name that starts a sentence is a word, as any word
+    can. own: hashes where names are words. plain, if exact: the hashes of the lower-cased words, without and with the
+    signs before each."""
     words = text.split()
     codes = np.array([tokens[w] for w in words], "u8")
     kinds = (codes & _KINDS).astype("i1")
     there = kinds != NONE
     ends = np.concatenate(([True], (codes[:-1] & _ENDS) > 0))
     kinds[(kinds == NAME) & ends] = WORD
-    hashes = codes & _KEEP
+    own = codes & _KEEP
+    hashes = own.copy()
     hashes[kinds == NAME] = np.uint64(16 * NAME)
     at = np.flatnonzero(there)
-    return hashes[at], kinds[at], [words[i] for i in at.tolist()] if len(at) < len(words) else words
+    plain = None
+    if exact:
+        bare = own.copy()
+        for i in np.flatnonzero((kinds == NUMBER) | (kinds == UNIT)).tolist():
+            bare[i] = xxhash.xxh64_intdigest(_EDGE.sub("", words[i]).lower() or "%")
+        signed = bare.copy()
+        signs = np.flatnonzero(~there)
+        for i, k in zip(signs.tolist(), np.searchsorted(at, signs).tolist(), strict=True):
+            if k < len(at):
+                signed[at[k]] = np.uint64(xxhash.xxh64_intdigest(words[i], int(signed[at[k]])))
+        plain = bare[at], signed[at]
+    return hashes[at], kinds[at], [words[i] for i in at.tolist()] if len(at) < len(words) else words, own[at], plain
+
+
+def _fold(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(parts[0]), len(parts), "u8")
+    for part in parts:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,48 +103,66 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarra
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, "u8"), np.empty(0, "i8")
-    out = np.full(n, size, "u8")
-    for i in range(size):
-        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
     own = np.concatenate(([0], np.cumsum(kinds == WORD)))
     at = np.flatnonzero(own[size:] - own[:-size] >= CONTENT * size)
-    return out[at], at
+    return _fold([hashes[i : i + n] for i in range(size)])[at], at
+
+
+def named(hashes: np.ndarray, kinds: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each window that starts with a name, with the name as a word: an item's first token is one."""
+    at = np.flatnonzero(kinds[: max(0, len(kinds) - size + 1)] == NAME)
+    return _fold([own[at], *(hashes[at + i] for i in range(1, size))]), at
+
+
+def verbatim(plain: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each window by its words and the signs between them."""
+    bare, signed = plain
+    n = len(bare) - size + 1
+    if n <= 0:
+        return np.empty(0, "u8"), np.empty(0, "i8")
+    return _fold([bare[:n], *(signed[i : i + n] for i in range(1, size))]), np.arange(n)
 
 
 def _slots(words: list[str], kinds: np.ndarray, start: int, size: int) -> list[str]:
     return [_EDGE.sub("", words[i]).lower() for i in range(start, start + size) if kinds[i] != WORD]
 
 
-_FIELDS = ("id", "hash", "start", "count", "slots")
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-_ROW = "id long, hash long, start int, count int, slots array<string>"
+#: Added to the size of windows that are joined by their words.
+_VERBATIM = 32
+_FIELDS = ("id", "hash", "start", "size", "slots", "own", "total")
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
+_ROW = "id long, hash long, start int, size int, slots array<string>, own int, total int"
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to all windows; an item shorter than a window is one window."""
+    """(id, text) to all windows; an item shorter than a window is one window. own: windows with enough words; total: all."""
     tokens = Tokens()
     for batch in batches:
         rows = []
         for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes, kinds, words = canonical(text or "", tokens)
+            hashes, kinds, words, _, plain = canonical(text or "", tokens, True)
             size = min(WINDOW, len(words))
             if size >= 3:
                 found, at = windows(hashes, kinds, size)
-                rows += [(item, h, a, len(at) * 64 + size, _slots(words, kinds, a, size)) for h, a in zip(found.view("i8").tolist(), at.tolist(), strict=True)]
+                rest, places = verbatim(plain, size)
+                counts = (len(at), len(places))
+                rows += [(item, h, a, size, _slots(words, kinds, a, size), *counts) for h, a in zip(found.view("i8").tolist(), at.tolist(), strict=True)]
+                left = np.setdiff1d(places, at)
+                rows += [(item, h, a, size + _VERBATIM, [], *counts) for h, a in zip(rest[left].view("i8").tolist(), left.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], list(_FIELDS))
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str = "decontam") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, exact) for each document of docs(doc_id, text) and item of
-    items(item_id, text) whose windows match consistently in COVERAGE of the item or more; exact: with equal slots.
+    items(item_id, text) whose windows match consistently in COVERAGE of the item or more; exact: with equal slots. The windows counted are
+    those with enough words, or all of the item's where more of them match.
 
     Null and empty texts match nothing. Items under three tokens are no items. Rows with equal ids count as one
     document or item. Rows whose id is null are left out. Other columns don't matter. An empty benchmark gives no row.
     """
     tune(spark)
     space = Workspace(spark, name)
-    known = space.save(items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, _ROW).select(F.col("id").alias("item_id"), "hash", F.col("start").alias("item_start"), F.shiftright("count", 6).alias("item_windows"), (F.col("count") % 64).alias("size"), F.col("slots").alias("item_slots")), "items")
+    known = space.save(items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, _ROW).select(F.col("id").alias("item_id"), "hash", F.col("start").alias("item_start"), "size", F.col("slots").alias("item_slots"), "own", "total"), "items")
     blocks = max(1, -(-known.count() // BLOCK))
     pairs = None
     for block in range(blocks):
@@ -134,6 +175,7 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str = "de
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tokens = Tokens()
             tables = []
+            exact = max(shared.value, default=0) > _VERBATIM
             for size, wanted in shared.value.items():
                 bits = np.zeros(1 << max(16, 4 + len(wanted).bit_length()), bool)
                 bits[wanted & np.uint64(len(bits) - 1)] = True
@@ -143,26 +185,33 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str = "de
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if not text:
                         continue
-                    hashes, kinds, words = canonical(text, tokens)
+                    hashes, kinds, words, own, plain = canonical(text, tokens, exact)
                     for size, wanted, bits in tables:
-                        found, at = windows(hashes, kinds, size)
-                        maybe = np.flatnonzero(bits[found & np.uint64(len(bits) - 1)])
-                        found, at = found[maybe], at[maybe]
-                        maybe = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found
-                        rows += [(doc, h, a, size, _slots(words, kinds, a, size)) for h, a in zip(found[maybe].view("i8").tolist(), at[maybe].tolist(), strict=True)]
+                        ways = [verbatim(plain, size - _VERBATIM)] if size > _VERBATIM else [windows(hashes, kinds, size), named(hashes, kinds, own, size)]
+                        for way, (found, at) in enumerate(ways):
+                            maybe = np.flatnonzero(bits[found & np.uint64(len(bits) - 1)])
+                            found, at = found[maybe], at[maybe]
+                            maybe = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found
+                            for h, a in zip(found[maybe].view("i8").tolist(), at[maybe].tolist(), strict=True):
+                                rows.append((doc, h, a, size, [] if size > _VERBATIM else _slots(words, kinds, a + way, size - way), 0, 0))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], list(_FIELDS))
 
-        seen = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _ROW).select(F.col("id").alias("doc_id"), "hash", F.col("start").alias("doc_start"), F.col("count").alias("size"), "slots")
+        seen = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _ROW).select(F.col("id").alias("doc_id"), "hash", F.col("start").alias("doc_start"), "size", "slots")
         joined = seen.join(F.broadcast(part), ["hash", "size"])  # at most BLOCK windows, or those of one hash
         pairs = joined if pairs is None else pairs.union(joined)
     shift = (F.col("doc_start") - F.col("item_start")).alias("shift")
     same = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    by_shift = pairs.groupBy("doc_id", "item_id", shift).agg(F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"), F.collect_set("item_start").alias("starts"), F.max("item_windows").alias("item_windows"))
-    n = F.size("slots")
-    fits = (F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == n)
-    by_shift = by_shift.where(fits).withColumn("exact", F.forall("slots", lambda s: s["a"].eqNullSafe(s["b"])))
-    out = by_shift.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("windows"), F.max("item_windows").alias("item_windows"), F.max("exact").alias("exact"))
-    return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= COVERAGE).select("doc_id", "item_id", F.col("windows").cast("long"), F.col("item_windows").cast("long"), "coverage", "exact")
+    formal = F.col("size") < _VERBATIM
+    by_shift = pairs.groupBy("doc_id", "item_id", shift).agg(F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"), F.collect_set(F.when(formal, F.col("item_start"))).alias("starts"), F.collect_set(F.when(~formal, F.col("item_start"))).alias("others"), F.max("own").alias("own"), F.max("total").alias("total"))
+    fits = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
+    by_shift = by_shift.withColumn("fits", fits).where(F.col("fits") | (F.size("others") > 0))
+    by_shift = by_shift.withColumn("starts", F.when(F.col("fits"), F.col("starts")).otherwise(F.array().cast("array<int>")))
+    by_shift = by_shift.withColumn("exact", F.when(F.col("fits"), F.forall("slots", lambda s: s["a"].eqNullSafe(s["b"]))).otherwise(True))
+    by_item = by_shift.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"), F.max("own").alias("own"), F.max("total").alias("total"), F.max("exact").alias("exact"))
+    own, both = F.size("starts"), F.size("starts") + F.size("others")
+    counted = by_item.withColumn("all", (F.col("own") == 0) | (both * F.col("own") > own * F.col("total")))
+    out = counted.select("doc_id", "item_id", F.when(F.col("all"), both).otherwise(own).cast("long").alias("windows"), F.when(F.col("all"), F.col("total")).otherwise(F.col("own")).cast("long").alias("item_windows"), "exact")
+    return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where(F.col("coverage") >= COVERAGE).select("doc_id", "item_id", "windows", "item_windows", "coverage", "exact")
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

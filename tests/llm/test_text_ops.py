@@ -416,6 +416,28 @@ def test_decontamination_weird_rows(spark):
     assert decontam.hits(spark, documents(spark, []), items).count() == 0
 
 
+
+def test_decontamination_finds_copies_without_plain_words_and_more_parameters(spark):
+    items = [
+        (1, "Convert 5 km 300 m to m"),
+        (2, "17 + 25 - 4 = 38"),
+        (3, "Largest City In North Dakota By Population Count Is Fargo"),
+        (4, "What is the capital of France"),
+        (5, "Anna has 3 apples and gives 5 apples to the neighbours who live beside the old mill"),
+    ]
+    rng = random.Random(5)
+    made = lambda text, before=" ": f"{words(rng, 20)}{before}{text} {words(rng, 20)}"
+    rows = [(i, made(t), "en", "a") for i, t in items] + [
+        (14, made(items[3][1], "\nQuestions\n"), "en", "a"),
+        (15, made(items[4][1].replace("3", "4").replace("5", "4")), "en", "a"),
+        (21, made("Convert 6 km 300 m to m"), "en", "a"),
+        (22, made("17 - 25 + 4 = 38"), "en", "a"),
+        (23, made("Largest Lake In North Dakota By Surface Area Is Sakakawea"), "en", "a"),
+        (24, made(items[2][1].lower()), "en", "a"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.hits(spark, documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): True for i in range(1, 6)} | {(14, 4): True, (15, 5): False, (24, 3): True}
+
 # Mixing
 
 
