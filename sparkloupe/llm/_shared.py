@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='sparkloupe-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -35,9 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs a reread only.
 
-    `drop` deletes a table that nothing will read again; what a lazy result still reads stays.
+    Spark deletes the shuffle files of a table's job when it is written. `drop` deletes a table that nothing will read
+    again; what a lazy result still reads stays.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -48,7 +53,12 @@ class Workspace:
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         path = self.path(tag)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._saved_at = path
         return out
@@ -71,6 +81,11 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
     another node aren't returned. Each round is written to the shared folder.
     """
 
+    def least(pairs: DataFrame) -> DataFrame:
+        """(u, m): grouped by one more key that u determines, so that the join to come deals this side anew: AQE splits
+        the hot keys of joins between plain shuffles only."""
+        return pairs.groupBy("u", F.shiftright("u", 62).alias("top")).agg(F.min("v").alias("m")).drop("top")
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -78,9 +93,9 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = least(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = space.save(small.distinct(), "edges")
         space.drop(now)

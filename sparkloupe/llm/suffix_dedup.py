@@ -9,15 +9,16 @@ exactly the repeated windows, compared byte by byte.
 
 Scale: equal texts count once (grouped by SHA-256 before all else). Counts of anchors are combined before the shuffle;
 anchors are joined back by hash, where AQE splits hot keys. Each anchor occurrence carries the bytes that windows
-around it can cover, and equal surroundings are settled without ordering their suffixes. An anchor with more than
-`GROUP` occurrences is settled by grouped minima instead, which have no limit to a group's size.
+around it can cover, and equal surroundings are settled without ordering their suffixes. The occurrences of an anchor
+that has more than `GROUP` of them are dealt evenly and take all remaining digits at once, as grouped minima, which
+are combined before the shuffle: no task holds a hot anchor. Both ways give the same rows. The shuffle files of each
+step are deleted when its table is written.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -111,16 +112,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, sub, positions, text) to a row for each anchor with the bytes that windows around it can cover."""
+    """(doc, sub, positions, text) to a row for each anchor with the bytes that windows around it can cover; the
+    positions of hot anchors come as -1 - position."""
     for batch in batches:
         for doc, sub, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = sorted(at)
+            at = sorted(at, key=lambda p: max(p, -1 - p))
+            hot = [p < 0 for p in at]
+            at = [max(p, -1 - p) for p in at]
             grams = np.array([xxhash.xxh64_intdigest(text[p : p + ANCHOR]) for p in at], "u8").view("i8")
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(n, doc, "i8")), pa.array(np.full(n, sub, "i4")), pa.array(at, pa.int32()), pa.array([min(p, SIDE) for p in at], pa.int32()), pa.array([text[max(0, p - SIDE) : p + ANCHOR + SIDE] for p in at], pa.binary())], ["gram", "doc", "sub", "pos", "before", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(n, doc, "i8")), pa.array(np.full(n, sub, "i4")), pa.array(at, pa.int32()), pa.array([min(p, SIDE) for p in at], pa.int32()), pa.array([text[max(0, p - SIDE) : p + ANCHOR + SIDE] for p in at], pa.binary()), pa.array(hot, pa.bool_())], [*NAMES, "hot"])
 
 
-OCCURRENCE = "gram long, doc long, sub int, pos int, before int, bytes binary"
+NAMES = ["gram", "doc", "sub", "pos", "before", "bytes"]
+SETTLED = "gram long, doc long, sub int, pos int, before int, bytes binary"
+OCCURRENCE = f"{SETTLED}, hot boolean"
 
 
 def repeated(run: np.ndarray, before: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,12 +184,11 @@ def _radix(rows: np.ndarray, run: np.ndarray, before: np.ndarray, texts: list[by
     return rows[at], start[first] - low[at], start[last] - low[at]
 
 
-def _settle(group: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences sorted by gram, doc, sub, pos: covered ranges (pos, before as start, end; bytes null), and unchanged
-    the occurrences of an anchor that has more than `group` of them."""
-    names = ["gram", "doc", "sub", "pos", "before", "bytes"]
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences sorted by hot, gram, doc, sub, pos: covered ranges (pos, before as start, end; bytes null), and
+    unchanged the occurrences of hot anchors."""
     held: list[pa.RecordBatch] = []
-    rows, over = 0, None
+    rows = 0
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, doc, sub, pos, before = (table.column(i).to_numpy() for i in range(5))
@@ -193,20 +198,18 @@ def _settle(group: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             gram, doc, sub, pos, before, texts = gram[new], doc[new], sub[new], pos[new], before[new], [t for t, k in zip(texts, new.tolist(), strict=True) if k]
         row, first, last = repeated(gram, before.astype("i8"), texts)
         start = pos[row] - before[row] + first
-        yield pa.RecordBatch.from_arrays([pa.array(gram[row]), pa.array(doc[row]), pa.array(sub[row]), pa.array(start.astype("i4")), pa.array((start + last - first + THRESHOLD).astype("i4")), pa.nulls(len(row), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[row]), pa.array(doc[row]), pa.array(sub[row]), pa.array(start.astype("i4")), pa.array((start + last - first + THRESHOLD).astype("i4")), pa.nulls(len(row), pa.binary())], NAMES)
 
     for batch in batches:
-        gram = batch.column(0).to_numpy()
-        if over is not None and len(gram):
-            n = int(np.argmax(gram != over)) if gram[-1] != over else len(gram)
-            yield batch.slice(0, n)
-            batch = batch.slice(n)
-            over = None if batch.num_rows else over
-        if not batch.num_rows:
+        cold = int(np.count_nonzero(~batch.column(6).to_numpy(zero_copy_only=False)))
+        batch = batch.select(range(6))
+        if cold < batch.num_rows:
+            yield batch.slice(cold)
+        if not cold:
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < min(2 * ROWS, group):
+        held.append(batch.slice(0, cold))
+        rows += cold
+        if rows < 2 * ROWS:
             continue
         table = pa.Table.from_batches(held)
         gram = table.column(0).to_numpy()
@@ -214,24 +217,22 @@ def _settle(group: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if cut:
             yield from work(table.slice(0, cut))
         held, rows = table.slice(cut).combine_chunks().to_batches(), len(gram) - cut
-        if rows > group:
-            yield from held
-            over, held, rows = gram[-1], [], 0
     if rows:
         yield from work(pa.Table.from_batches(held))
 
 
-def _by_minima(over: DataFrame) -> DataFrame:
-    """Covered ranges (doc, sub, start, end) among the occurrences of anchors that have very many."""
+def _by_minima(over: DataFrame, space: Workspace) -> DataFrame:
+    """Covered ranges (doc, sub, start, end) among the occurrences of hot anchors. The minima are saved before they are
+    joined back, as AQE splits a hot key only of joins between plain shuffles."""
     key = ["gram", "before", "bytes"]
-    at = F.struct("doc", "sub", "pos")
-    over = over.withColumn("at", at)
-    firsts = over.groupBy(*key).agg(F.min("at").alias("first")).where(F.length("bytes") >= THRESHOLD)
+    over = over.withColumn("at", F.struct("doc", "sub", "pos"))
+    firsts = space.save(over.groupBy(*key).agg(F.min("at").alias("first")).where(F.length("bytes") >= THRESHOLD), "firsts")
     begin = F.col("pos") - F.col("before")
     copies = over.join(firsts, key).where("at > first").select("doc", "sub", begin.alias("start"), (begin + F.length("bytes")).alias("end"))
     windows = firsts.select(*key, "first", F.explode(F.sequence(F.lit(0), F.length("bytes") - THRESHOLD)).alias("s"))
     windows = windows.select("gram", "first", "before", "s", (F.col("before") - F.col("s")).alias("offset"), F.substring("bytes", F.col("s") + 1, F.lit(THRESHOLD)).alias("window"))
-    lows = windows.groupBy("gram", "offset", "window").agg(F.min("first").alias("low"))
+    lows = windows.groupBy("gram", "offset", "window").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").drop("high")
+    lows = space.save(lows, "minima")
     begin = F.col("first.pos") - F.col("before")
     covered = windows.join(lows, ["gram", "offset", "window"]).where("first > low").groupBy("first", "before").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     return copies.union(covered.select("first.doc", "first.sub", begin + F.col("low"), begin + F.col("high") + THRESHOLD))
@@ -274,21 +275,21 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, space: Workspace, group
     contents = space.save(first.withColumn("sub", sub).withColumn("content", F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")), "contents")
     found = space.save(docs.select(content.alias("content"), body.alias("text")).mapInArrow(_anchor_rows, "gram long, content long, pos int"), "anchors")
     one = F.xxhash64("content", "pos")
-    more = found.groupBy("gram").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("gram")
-    places = found.join(more, "gram").groupBy("content").agg(F.collect_set("pos").alias("at"))
-    places = space.save(places.join(contents, "content").select("doc", "sub", "sha", "at"), "places")
+    more = found.groupBy("gram").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).where("low <> high")
+    more = space.save(more.select("gram", (F.col("n") > group).alias("hot")), "repeated")
+    marked = F.when(F.col("hot"), -1 - F.col("pos")).otherwise(F.col("pos")).cast("int")
+    places = space.save(found.join(more, "gram").groupBy("content").agg(F.collect_set(marked).alias("at")), "places")
     space.drop(found)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has been saved
+    of = contents.join(places, "content").select("doc", "sub", "sha", "at")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), sha.alias("sha"), body.alias("text"))
-    near = texts.join(places, ["doc", "sha"]).select("doc", "sub", "at", "text").mapInArrow(_occurrences, OCCURRENCE)
-    settled = space.save(near.repartition("gram").sortWithinPartitions("gram", "doc", "sub", "pos").mapInArrow(partial(_settle, group), OCCURRENCE), "settled")
+    near = texts.join(of, ["doc", "sha"]).select("doc", "sub", "at", "text").mapInArrow(_occurrences, OCCURRENCE)
+    dealt = near.repartition(F.when(F.col("hot"), F.xxhash64("doc", "sub", "pos")).otherwise(F.col("gram")))
+    settled = space.save(dealt.sortWithinPartitions("hot", "gram", "doc", "sub", "pos").mapInArrow(_settle, SETTLED), "settled")
     space.drop(places)
     ranges = settled.where("bytes is null").select("doc", "sub", F.col("pos").alias("start"), F.col("before").alias("end"))
-    over = settled.where("bytes is not null")
-    if not over.isEmpty():
-        ranges = ranges.union(space.save(_by_minima(over), "hot"))
-    spark.sparkContext._jvm.System.gc()
-    return contents, ranges
+    if more.where("hot").isEmpty():
+        return contents, ranges
+    return contents, ranges.union(space.save(_by_minima(settled.where("bytes is not null"), space), "hot"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, name: str = "suffix-dedup", group: int = GROUP) -> DataFrame:
@@ -310,4 +311,5 @@ def dedup(spark: SparkSession, docs: DataFrame, name: str = "suffix-dedup", grou
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup() of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     return dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "op9")
