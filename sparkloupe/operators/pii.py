@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spans import SPANS, matches, starred
 
+#: Family names in the Latin alphabet, and prefixes of business numbers.
+SURNAMES = "Kim|Lee|Park|Choi|Jung|Jang|Cho|Kang|Lim|Han|Yoon|Jeon|Shin|Kwon|Hwang|Ahn|Hong|Yang|Bae|Baek|Hur|Nam|Seong|Sim|Yuk|Gil|Heo|Pyo|Yeo|Chae|Noh|Joo|Koo"
+PREFIXES = "1533|1544|1555|1566|1577|1588|1599|1600|1644|1661|1666|1670|1688|1800|1855|1877|1899"
 #: Rules in order of priority (code, severity, pattern, on masked text, check).
 RULES = (
-    ("foreigner_registration", "high", r"(?<![0-9])[0-9]{6}[- ]?[5-8][0-9]{6}(?![0-9])", True, None),
-    ("resident_registration", "critical", r"(?<![0-9])[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[- ]?[1-4][0-9]{6}(?![0-9])", True, None),
-    ("phone", "high", r"(?<![0-9])01[016789][- .]?[0-9]{3,4}[- .]?[0-9]{4}(?![0-9])", True, None),
-    ("card", "high", r"(?<![0-9])[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}(?![0-9])", True, None),
-    ("passport", "high", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{7,8}(?![A-Za-z0-9])", True, None),
-    ("driver_licence", "high", r"(?<![0-9])[0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2}(?![0-9])", True, None),
-    ("business_number", "medium", r"(?<![0-9-])[1-6][0-9]{2}-[0-9]{2}-[0-9]{5}(?![0-9-])", False, None),
-    ("safety_number", "high", r"(?<![0-9])0507[- ]?[0-9]{3,4}[- ]?[0-9]{4}(?![0-9])", False, None),
-    ("email", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z]{2,}", False, None),
-    ("imsi", "critical", r"(?<![0-9])450[0-9]{12}(?![0-9])", False, None),
-    ("iccid", "critical", r"(?<![0-9])89[0-9]{17,19}(?![0-9])", False, None),
-    ("imei", "critical", r"(?<![0-9])[0-9]{15}(?![0-9])", False, "luhn"),
+    ("foreigner_registration", "high", r"(?U)\b\d{6}[-][5-8]\d{6}\b", True, None),
+    ("resident_registration", "critical", r"(?U)\b\d{6}[-]\d{7}\b", True, None),
+    ("phone", "high", r"(?U)\b(?:01[016789]|02|0[3-9]\d)[-\s]?\d{3,4}[-\s]?\d{4}\b", True, None),
+    ("card", "high", r"(?U)\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}\b", True, None),
+    ("passport", "high", r"(?U)\b[A-Z]{1,2}\d{7,8}\b", True, None),
+    ("driver_licence", "high", r"(?U)\b\d{2}[-]\d{2}[-]\d{6}[-]\d{2}\b", True, None),
+    ("business_number", "medium", rf"(?U)\b(?:{PREFIXES})[-\s]?\d{{4}}\b", False, None),
+    ("safety_number", "high", r"(?U)\b0507[-\s]?\d{3,4}[-\s]?\d{4}\b", False, None),
+    ("email", "medium", r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", False, None),
+    ("imsi", "critical", r"(?U)\b450\d{12}\b", False, None),
+    ("iccid", "critical", r"(?U)\b89\d{17,19}\b", False, None),
+    ("imei", "critical", r"(?U)\b\d{15}\b", False, "luhn"),
+    ("romanised_name", "medium", rf"(?U)\b(?:{SURNAMES})[\s.-][A-Z][a-z]{{2,6}}(?:[\s.-][A-Z]?[a-z]{{2,6}})?\b", False, None),
+    ("romanised_name", "medium", rf"(?U)\b[A-Z][a-z]{{2,6}}[\s.-](?:{SURNAMES})\b", False, None),
 )
+#: What a text must hold for a rule to match: the rule's own search is only made where it does.
+_DIGITS, _LONG, _NAMES = r"[0-9]{3}", r"[0-9]{6}", SURNAMES
+GUARDS = {"email": "@", "passport": r"[A-Z][0-9]{7}", "card": r"[0-9]{4}[-\s][0-9]{4}", "imsi": "450[0-9]{12}", "iccid": "89[0-9]{17}", "imei": "[0-9]{15}", "foreigner_registration": "[0-9]{6}-[0-9]", "resident_registration": "[0-9]{6}-[0-9]", "driver_licence": "-[0-9]{6}-", "romanised_name": _NAMES}
 #: Secrets in formats that their issuers document.
 SECRETS = (
     ("aws_key", "critical", r"\bAKIA[0-9A-Z]{16}\b", False, None),
@@ -34,36 +43,53 @@ SECRETS = (
 )
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct(start from 0, match)>: pieces between the matches give the places."""
-    both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+def _matches(rule: tuple, text: Column, digits: Column) -> Column:
+    """The rule's matches, behind its cheap guard."""
+    code, _, pattern, _, _ = rule
+    guard = digits if code in ("phone", "business_number", "safety_number") else F.contains(text, F.lit("@")) if code == "email" else text.rlike(GUARDS[code]) if code in GUARDS else F.lit(True)
+    if code in GUARDS and code not in ("email", "romanised_name"):
+        guard = digits & guard
+    return F.when(guard, matches(text, pattern)).otherwise(F.array().cast(SPANS))
 
-    def place(x: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-        pairs = F.transform(x["m"], lambda m, i: F.struct(F.length(F.element_at(x["p"], i + 1)).alias("gap"), m.alias("m")))
-        step = lambda a, s: F.struct((a["at"] + s["gap"] + F.length(s["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), s["m"].alias("match")))).alias("out"))
-        return F.aggregate(pairs, begin, step)["out"]
 
-    found = F.element_at(F.transform(F.array(both), place), 1)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
-
-
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """finding(doc_id, rule, severity, start, end, value): identical spans once, by the first rule; overlapping unequal
-    ones all stay; values whose long digit groups are a digit and zeros are masked data and don't count. One row's
-    findings are made together, so there is no shuffle."""
-    masked = T.mask_digits(F.col("text"), 15)
-    rows = docs.where("text is not null").select("doc_id", "text", masked.alias("_masked"))
+def findings(text: Column, rules=RULES) -> Column:
+    """array<struct(start, end, prio, rule, severity, value)> by rule and place: identical spans once, by the first rule;
+    overlapping unequal ones all stay; values whose long digit groups are a digit and zeros are masked data and don't
+    count. Null for a null text."""
+    digits = text.rlike(_DIGITS)
+    masked = F.when(digits & text.rlike(_LONG), T.mask_digits(text, 6)).otherwise(text)
     parts = []
-    for i, (code, severity, pattern, on_masked, check) in enumerate(rules):
-        spans = _spans(F.col("_masked" if on_masked else "text"), pattern)
+    for i, rule in enumerate(rules):
+        code, severity, _, on_masked, check = rule
+        # a masked rule's guard holds of the masked text if it holds of the text, as masking keeps digits digits
+        spans = _matches(rule, masked if on_masked else text, digits)
+        value = lambda s: F.substring(text, s["start"] + 1, F.length(s["match"])) if on_masked else s["match"]  # noqa: E731, B023
         if check == "luhn":
             spans = F.filter(spans, lambda s: F.call_function("luhn_check", s["match"]))
-        parts.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), F.lit(i).alias("prio"), F.lit(code).alias("rule"), F.lit(severity).alias("severity"), s["match"].alias("value"))))  # noqa: B023
+        parts.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), F.lit(i).alias("prio"), F.lit(code).alias("rule"), F.lit(severity).alias("severity"), value(s).alias("value"))))  # noqa: B023
     every = F.concat(*parts)
-    real = F.filter(every, lambda s: ~((F.size(F.regexp_extract_all(s["value"], F.lit("[0-9]{6,}"), F.lit(0))) > 0) & F.forall(F.regexp_extract_all(s["value"], F.lit("[0-9]{6,}"), F.lit(0)), lambda g: g.rlike("^[0-9]0*$"))))
+    runs = lambda s: F.regexp_extract_all(s["value"], F.lit("[0-9]{6,}"), F.lit(0))
+    real = F.filter(every, lambda s: ~(s["value"].rlike("[0-9]{6}") & F.forall(runs(s), lambda g: g.rlike("^[0-9]0*$"))))
     once = F.element_at(F.transform(F.array(real), lambda a: F.filter(a, lambda s: ~F.exists(a, lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["prio"] < s["prio"])))), 1)
-    return rows.select("doc_id", F.explode(once).alias("f")).select("doc_id", "f.rule", "f.severity", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.value")
+    return F.when(F.size(every) > 0, once).otherwise(every)
+
+
+def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+    """finding(doc_id, rule, severity, start, end, value). One row's findings are made together, so there is no
+    shuffle. Null texts have none."""
+    rows = docs.select("doc_id", F.explode(findings(F.col("text"), rules)).alias("f"))
+    return rows.select("doc_id", "f.rule", "f.severity", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.value")
+
+
+def file_scan(files: DataFrame, rules=RULES) -> DataFrame:
+    """The findings of files(file_id, content) with line and column from 1, the line cut at 120 characters, and the
+    value masked for display."""
+    rows = files.select("file_id", "content", F.explode(findings(F.col("content"), rules)).alias("f"))
+    before = F.substring("content", F.lit(1), F.col("f.start"))
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    column = F.length(F.substring_index(before, "\n", -1)) + 1
+    snippet = F.left(F.trim(F.get(F.split("content", "\n", -1), line - 1)), F.lit(120))
+    return rows.select("file_id", "f.rule", "f.severity", line.cast("long").alias("line_no"), column.cast("long").alias("column_no"), snippet.alias("code"), display_mask(F.col("f.value")).alias("shown"))
 
 
 def display_mask(value: Column) -> Column:
@@ -81,9 +107,10 @@ def centre_mask(value: Column) -> Column:
 
 
 def masked_text(text: Column, rules=RULES + SECRETS) -> Column:
-    """Every span of every rule replaced by as many asterisks; equal lengths make the order irrelevant."""
-    spans = F.concat(*[_spans(text, p) for _, _, p, _, _ in rules])
-    return F.aggregate(spans, text, lambda t, s: F.overlay(t, F.repeat(F.lit("*"), F.length(s["match"])), s["start"] + 1, F.length(s["match"])))
+    """Every span of every rule replaced by as many asterisks."""
+    digits = text.rlike(_DIGITS)
+    spans = F.concat(*[F.transform(_matches(rule, text, digits), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("stop"))) for rule in rules])
+    return starred(text, spans)
 
 
 def positions(findings: DataFrame, docs: DataFrame) -> DataFrame:
