@@ -9,4 +9,3 @@ LANGUAGE_OF = {"js": "javascript", "c": "c", "h": "c", "pc": "proc", "sql": "sql
 SECONDS_OF = {"javascript": 15, "c": 20, "proc": 25, "sql": 10, "xml": 10}
 EVENTS = ("DECLARE", "OPEN", "FETCH", "CLOSE")
 DML = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE")
-CATEGORIES = ("memory_safety", "null_safety", "data_integrity", "error_handling", "security", "performance", "code_quality")

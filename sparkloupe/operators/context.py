@@ -16,9 +16,12 @@ SUFFIXES = ("", ".js", ".c", ".h", ".pc", ".sql")
 
 
 def strip_corpus(files: DataFrame) -> DataFrame:
-    """files(file_id, language, content) with code, the characters removed, and whether the line count stayed."""
+    """files(file_id, language, content) with code (comments out, hyphens between digits in literals as stars, save
+    in markup), the characters removed, and whether the line count stayed. Other languages stay as they are."""
     c, language = F.col("content"), F.col("language")
-    code = F.when(language == "c", T.strip_c(c)).when(language == "proc", T.strip_proc(c)).when(language == "sql", T.strip_sql(c)).when(language == "xml", T.strip_xml(c)).otherwise(c)
+    script = T.strip_js(F.when(language == "javascript", c))
+    code = F.when(language == "javascript", T.star_hyphens(script)).when(language == "c", T.star_hyphens(T.strip_c(c))).when(language == "proc", T.star_hyphens(T.strip_proc(c)))
+    code = code.when(language == "sql", T.star_hyphens(T.strip_sql(c), sql=True)).when(language == "xml", T.strip_xml(c)).otherwise(c)
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     rows = files.withColumn("code", code)
     return rows.withColumns({"removed": (F.length("content") - F.length("code")).cast("long"), "lines_kept": breaks(F.col("content")) == breaks(F.col("code"))}).drop("content")
@@ -33,18 +36,27 @@ def optimise(content: Column, summary: Column, most: int = 500, head: int = 200,
 
 
 def cursor_bodies(blocks: DataFrame, lines: DataFrame, reach: int = 200) -> DataFrame:
-    """(file_id, cursor, body): the SELECT of a cursor's declaration, or, where that names a prepared
-    statement, the literals of the last line before the PREPARE, `reach` at most, that fills its buffer: as-of by one
-    window over fills and PREPAREs."""
-    declared = blocks.where("kind = 'DECLARE'").select("file_id", F.regexp_extract("sql_text", r"(?i)^DECLARE\s+(\w+)", 1).alias("cursor"), F.regexp_extract("sql_text", r"(?is)\bFOR\s+(SELECT\b.*)$", 1).alias("direct"), F.lower(F.regexp_extract("sql_text", r"(?i)\bFOR\s+(\w+)\s*$", 1)).alias("statement"))
-    p = r"(?i)\b(?:sprintf|strcpy|strcat)\s*\(\s*(\w+)\s*,"
-    text = F.array_join(F.regexp_extract_all("raw", F.lit('"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)), "")
-    fills = lines.where(F.col("raw").rlike(p)).select("file_id", F.regexp_extract("raw", p, 1).alias("buffer"), F.col("line_no").alias("at"), text.alias("text"), F.lit(None).cast("string").alias("statement"))
-    prepares = blocks.where("kind = 'PREPARE'").select("file_id", F.regexp_extract("sql_text", r":(\w+)", 1).alias("buffer"), F.col("line_start").alias("at"), F.lit(None).cast("string").alias("text"), F.lower(F.regexp_extract("sql_text", r"(?i)^PREPARE\s+(\w+)", 1)).alias("statement"))
+    """(file_id, cursor, body): the SELECT of a cursor's declaration; or, where that names a prepared statement,
+    the literal it is prepared from, or all literals from the last line before the PREPARE, `reach` at most, that fills
+    its buffer (with or without a cast and a member) up to the PREPARE, if they hold a SELECT; else null.
+
+    As-of by one window over fills and PREPAREs; the lines between come by an equi join by file with a range of at
+    most `reach` lines."""
+    declared = blocks.where("kind = 'DECLARE'").select("file_id", F.regexp_extract("sql_text", r"(?i)^DECLARE\s+(\w+)", 1).alias("cursor"), F.regexp_extract("sql_text", r"(?is)\bFOR\s+(SELECT\s.*)$", 1).alias("direct"), F.lower(F.regexp_extract("sql_text", r"(?i)\bFOR\s+(?!SELECT\b)(\w+)\s*$", 1)).alias("statement"))
+    prepares = blocks.where(F.col("sql_text").rlike(r"(?i)^PREPARE\s")).select("file_id", F.lower(F.regexp_extract("sql_text", r"(?i)^PREPARE\s+(\w+)", 1)).alias("statement"), F.regexp_extract("sql_text", r"(?i)\bFROM\s+:(\w+)", 1).alias("buffer"), F.regexp_extract("sql_text", r'(?i)\bFROM\s+"([^"]+)"', 1).alias("literal"), F.col("line_start").alias("at"))
+    last = Window.partitionBy("file_id", "statement").orderBy(F.desc("at"))
+    prepares = prepares.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    p = r"\b(?:s?n?printf|strcpy|strcat)\s*\(\s*(?:\([^)]*\))?\s*(\w+)(?:\.arr)?\s*,"
+    fills = lines.where(F.col("raw").rlike(p)).select("file_id", F.regexp_extract("raw", p, 1).alias("buffer"), F.col("line_no").alias("at"), F.lit(None).cast("string").alias("statement"))
     w = Window.partitionBy("file_id", "buffer").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("text").rlike("(?i)SELECT"), F.struct("at", "text")), ignorenulls=True).over(w)
-    bound = fills.union(prepares).withColumn("f", last).where("statement is not null").select("file_id", "statement", F.when(F.col("at") - F.col("f.at") <= reach, F.col("f.text")).alias("prepared"))
-    return declared.join(bound, ["file_id", "statement"], "left").select("file_id", "cursor", F.coalesce(F.nullif("direct", F.lit("")), "prepared").alias("body"))
+    filled = F.last(F.when(F.col("statement").isNull(), F.col("at")), ignorenulls=True).over(w)
+    bound = fills.union(prepares.where("buffer <> ''").select("file_id", "buffer", "at", "statement")).withColumn("filled", filled).where((F.col("statement").isNotNull()) & (F.col("at") - F.col("filled") <= reach))
+    near = bound.select("file_id", "statement", "at", F.explode(F.sequence("filled", F.col("at") - 1)).alias("line_no")).join(lines.select("file_id", "line_no", "raw"), ["file_id", "line_no"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n")
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(r'(?s)"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.regexp_replace(s, r"(?s)\\(.)", "$1"))
+    traced = near.groupBy("file_id", "statement").agg(F.trim(F.array_join(pieces, "")).alias("traced")).where(F.col("traced").rlike(r"(?i)\bSELECT\b"))
+    rows = declared.join(prepares.select("file_id", "statement", "literal"), ["file_id", "statement"], "left").join(traced, ["file_id", "statement"], "left")
+    return rows.select("file_id", "cursor", F.coalesce(F.nullif("direct", F.lit("")), F.nullif(F.trim("literal"), F.lit("")), "traced").alias("body"))
 
 
 def global_context(lines: DataFrame, spans: DataFrame) -> DataFrame:
@@ -96,10 +108,15 @@ def statement_spans(lines: DataFrame) -> DataFrame:
 
 
 def function_classes(spans: DataFrame) -> DataFrame:
-    """Boilerplate, utility (z, s and rep prefixes) or dispatch, by name."""
-    name = F.col("func_name")
-    kind = F.when(F.col("is_boilerplate"), "boilerplate").when(name.rlike(r"^(z_|s_|z[A-Z]|rep_)"), "utility").otherwise("dispatch")
-    return spans.select("file_id", "func_name", "line_start", kind.alias("function_class"))
+    """Boilerplate, utility (numbered names of the letters z and s, and names after rep_) or dispatch, by name; a
+    utility alone in its group of a file is dispatch."""
+    name = F.lower("func_name")
+    fixed = name.rlike(r"^main$|_init_proc$|_exit_proc$|^z\w{3}b\w+\d+$")
+    group = F.when(fixed, F.lit(None)).when(name.rlike(r"^[zs]\d{2,3}_"), F.left(name, F.lit(1))).when(name.startswith("rep_") & ~name.rlike(r"^[a-z]\d{2,3}_"), "rep")
+    rows = spans.select("file_id", "func_name", "line_start", fixed.alias("fixed"), group.alias("group"))
+    many = rows.where("group is not null").groupBy("file_id", "group").agg(F.count("*").alias("many"))
+    kind = F.when(F.col("fixed"), "boilerplate").when(F.col("many") >= 2, "utility").otherwise("dispatch")
+    return rows.join(many, ["file_id", "group"], "left").select("file_id", "func_name", "line_start", kind.alias("function_class"))
 
 
 def list_summary(columns: DataFrame) -> DataFrame:
@@ -219,3 +236,20 @@ def rule_counts(findings: DataFrame) -> DataFrame:
 def group_stats(spans: DataFrame) -> DataFrame:
     """Functions and their mean, least and greatest length by file."""
     return spans.groupBy("file_id").agg(F.count("*").alias("functions"), F.avg("line_count").alias("mean_lines"), F.min("line_count").alias("least"), F.max("line_count").alias("greatest"))
+
+
+def resolved_path(path: Column, root: str) -> Column:
+    """An absolute path without `.` and `..`; relative ones are under the root."""
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    step = lambda a, x: F.when((x == "") | (x == "."), a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def with_contexts(files: DataFrame, contexts: DataFrame, root: str) -> DataFrame:
+    """files(path) with what contexts(path, seq, ...) say of them, by the path as written or resolved; the last of
+    several; nulls for none."""
+    said = [c for c in contexts.columns if c not in ("path", "seq")]
+    full = resolved_path(F.col("path"), root)
+    keyed = contexts.select(F.explode(F.array_distinct(F.array(full, "path"))).alias("path"), "seq", F.struct(*said).alias("said"))
+    last = keyed.groupBy("path").agg(F.max_by("said", "seq").alias("said"))
+    return files.join(last, "path", "left").select(*files.columns, "said.*")

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from ..constants import DML, EVENTS
 
-#: Base C types that suit a conversion function's argument.
-TYPE_COMPAT = {"TO_NUMBER": ("char", "VARCHAR", "varchar"), "TO_CHAR": ("int", "long", "short", "double", "float")}
+#: SQL types that suit a base C type, and what a conversion function takes its argument for.
+TYPE_COMPAT = {
+    "int": ("NUMBER", "INTEGER", "INT", "SMALLINT", "NUMERIC"),
+    "long": ("NUMBER", "INTEGER", "BIGINT", "NUMERIC"),
+    "short": ("NUMBER", "SMALLINT", "INTEGER"),
+    "float": ("NUMBER", "FLOAT", "REAL", "NUMERIC"),
+    "double": ("NUMBER", "FLOAT", "DOUBLE", "NUMERIC"),
+    "char": ("VARCHAR", "VARCHAR2", "CHAR", "NCHAR", "NVARCHAR2", "CLOB", "TEXT"),
+}
+CONVERSIONS = (("TO_NUMBER", "NUMBER"), ("TO_CHAR", "VARCHAR"))
 
 
 def _finding(rule: str, severity: str, category: str, line: Column) -> list[Column]:
@@ -88,14 +96,18 @@ def undeclared_host_vars(blocks: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def type_mismatches(blocks: DataFrame, declared: DataFrame) -> DataFrame:
-    """K2: the argument of TO_NUMBER or TO_CHAR has a declared type that doesn't suit it."""
-    found = F.regexp_extract_all("sql_text", F.lit(r"(?i)\b(TO_NUMBER|TO_CHAR)\s*\(\s*:\w+"), F.lit(0))
-    used = blocks.select("file_id", "line_start", F.explode(found).alias("m")).select("file_id", "line_start", F.upper(F.regexp_extract("m", r"^(\w+)", 1)).alias("context"), F.regexp_extract("m", r":(\w+)", 1).alias("name"))
-    base = F.regexp_extract("c_type", r"^(?:unsigned\s+)?(\w+)", 1)
-    suits = F.lit(False)
-    for context, types in TYPE_COMPAT.items():
-        suits = suits | ((F.col("context") == context) & base.isin(*types))
-    return used.join(declared, ["file_id", "name"]).where(~suits).select("file_id", "name", "context", "c_type", F.col("line_start").alias("line_no"))
+    """K2: a host variable of a SELECT, INSERT or UPDATE is an argument of a conversion function that its declared type
+    doesn't suit. Types that the table doesn't have, and unknown ones, suit everything. declared(file_id, name, c_type)."""
+    used = blocks.where(F.col("kind").isin("SELECT", "INSERT", "UPDATE")).select("file_id", "line_start", "sql_text", F.explode("host_vars").alias("name"))
+    context = F.lit(None).cast("string")
+    for function, kind in reversed(CONVERSIONS):
+        context = F.when(F.expr(f"regexp_like(sql_text, concat('(?i){function}\\\\s*\\\\([^)]*:', name))"), F.lit(kind)).otherwise(context)
+    base = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.trim("c_type")), r"\s*[\[*].*", "")), r"^(unsigned|signed)\s+", ""))
+    known, suits = base.isin(*TYPE_COMPAT), F.lit(False)
+    for c_type, kinds in TYPE_COMPAT.items():
+        suits = suits | ((base == c_type) & F.col("context").isin(*kinds))
+    rows = used.withColumn("context", context).where("context is not null").join(declared.where("c_type <> 'unknown'"), ["file_id", "name"])
+    return rows.where(known & ~suits).select("file_id", "name", "context", "c_type", F.col("line_start").alias("line_no"))
 
 
 def cursor_function_split(events: DataFrame, calls: DataFrame) -> DataFrame:
@@ -108,14 +120,24 @@ def cursor_function_split(events: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def next_segment(blocks: DataFrame, segments: DataFrame) -> DataFrame:
-    """J9, as-of: each block with the first C segment that starts after it, if it starts in the same function span.
+    """J9, as-of: each block with the first C segment of the same function, or of no function, that starts after it;
+    nulls if there is none.
 
-    One window over blocks and segments of a file, sorted by line: no pairs are made."""
-    b = blocks.select("file_id", F.col("line_end").alias("at"), F.lit(1).alias("o"), "block_no", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    s = segments.select("file_id", F.col("line_start").alias("at"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("block_no"), F.col("line_start").alias("start"), F.col("line_end").alias("end"))
-    w = Window.partitionBy("file_id").orderBy("at", "o").rowsBetween(1, Window.unboundedFollowing)
-    first = F.first(F.when(F.col("o") == 0, F.struct("start", "end")), ignorenulls=True).over(w)
-    return b.union(s).withColumn("n", first).where("o = 1").select("file_id", "block_no", F.col("n.start").alias("segment_start"), F.col("n.end").alias("segment_end"))
+    One window over blocks and segments of a function, sorted by line: no pairs are made."""
+    none = F.lit(None).cast("long")
+    b = blocks.select("file_id", "func_name", F.col("line_end").alias("at"), F.lit(1).alias("o"), "block_no", none.alias("start"), none.alias("end"), F.lit(None).cast("boolean").alias("error_path"))
+    s = segments.select("file_id", "func_name", F.col("line_start").alias("at"), F.lit(0).alias("o"), none.alias("block_no"), F.col("line_start").alias("start"), F.col("line_end").alias("end"), "error_path")
+    w = Window.partitionBy("file_id", "func_name").orderBy("at", "o").rowsBetween(1, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("o") == 0, F.struct("start", "end", "error_path")), ignorenulls=True).over(w)
+    return b.union(s).withColumn("n", first).where("o = 1").select("file_id", "block_no", F.col("n.start").alias("segment_start"), F.col("n.end").alias("segment_end"), F.col("n.error_path").alias("error_path"))
+
+
+def no_error_path(blocks: DataFrame, segments: DataFrame) -> DataFrame:
+    """K5: DML whose result is checked and whose next C segment in the function has no way out; none where there is no
+    such segment."""
+    near = next_segment(blocks, segments).where("segment_start is not null and not error_path")
+    rows = blocks.where(F.col("kind").isin(*DML) & F.col("has_sqlca_check")).join(near, ["file_id", "block_no"])
+    return rows.select(*_finding("CROSS_SQLCA_NO_ERROR_PATH", "medium", "data_integrity", F.col("line_end")), F.col("segment_end").alias("line_end"))
 
 
 def transaction_split(blocks: DataFrame, calls: DataFrame) -> DataFrame:
@@ -138,8 +160,9 @@ def call_edges(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(spans.select("file_id", F.col("func_name").alias("dst")).distinct(), ["file_id", "dst"], "left_semi").select("file_id", F.col("func_name").alias("src"), "dst", "line_no")
 
 
-def symbol_graph(spans: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFrame:
-    """graph_edge(file_id, src, dst, edge_type, n): functions, SQL blocks, host variables, cursors, transactions."""
+def symbol_graph(spans: DataFrame, blocks: DataFrame, calls: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """H4: graph_edge(file_id, src, dst, edge_type, n): functions, SQL blocks, host variables, cursors, transactions, and
+    the functions in which host_variables() says that variables are declared."""
     func, sql = F.concat(F.lit("func:"), F.col("func_name")), F.concat(F.lit("sql:"), F.col("block_no").cast("string"))
     cursor = F.concat(F.lit("cursor:"), F.regexp_extract("sql_text", r"(?i)^\w+\s+(\w+)", 1))
     edge = lambda d, a, b, kind: d.select("file_id", a.alias("src"), b.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"))
@@ -150,6 +173,8 @@ def symbol_graph(spans: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataF
     edges = edges.union(edge(inside.where(F.col("kind").isin("COMMIT", "ROLLBACK", "SAVEPOINT")), func, F.concat(F.lit("tx:"), F.col("kind")), "HAS_TRANSACTION"))
     edges = edges.union(edge(blocks.where("has_sqlca_check"), sql, sql, "CHECKS_ERROR"))
     edges = edges.union(edge(calls, F.concat(F.lit("func:"), F.col("src")), F.concat(F.lit("func:"), F.col("dst")), "CALLS"))
+    if variables is not None:
+        edges = edges.union(edge(variables.where("func_name is not null"), F.concat(F.lit("hvar:"), F.col("name")), func, "DECLARED_IN"))
     return edges.groupBy("file_id", "src", "dst", "edge_type").agg(F.count("*").alias("n"))
 
 
@@ -161,3 +186,45 @@ def duplicate_closes(lines: DataFrame, spans: DataFrame) -> DataFrame:
     rows = enclosing(lines.where(F.col("raw").rlike(p)).select("file_id", "line_no", F.regexp_extract("raw", p, 1).alias("cursor")), spans)
     at = F.array_sort(F.collect_set("line_no"))
     return rows.groupBy("file_id", "func_name", "cursor").agg(at.alias("at")).where(F.size("at") >= 2).select("file_id", "func_name", "cursor", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("close_lines"))
+
+
+def adjacent(edges: DataFrame, node: str, outgoing: bool = True, edge_type: str | None = None) -> DataFrame:
+    """H6: the edges that leave or reach a node, of one type if given."""
+    rows = edges.where(F.col("src" if outgoing else "dst") == node)
+    return rows if edge_type is None else rows.where(F.col("edge_type") == edge_type)
+
+
+def in_group(rows: DataFrame, spans: DataFrame, groups: DataFrame, by_name: bool = True) -> DataFrame:
+    """rows(file_id, line_no, func_name) with the group_no of groups(file_id, group_no, func_name) whose functions
+    hold their line or, if `by_name`, are theirs; once for each group. Equi joins by file and by function; the range is
+    a residual."""
+    ranges = groups.join(spans.select("file_id", "func_name", "line_start", "line_end"), ["file_id", "func_name"])
+    keyed = rows.withColumn("_row", F.struct(*rows.columns))
+    at = keyed.join(ranges.select("file_id", "group_no", "line_start", "line_end"), "file_id").where("line_no between line_start and line_end").select("_row", "group_no")
+    if by_name:
+        at = at.union(keyed.join(groups, ["file_id", "func_name"]).select("_row", "group_no"))
+    return at.distinct().select("_row.*", "group_no")
+
+
+def cross_checks(parsed: DataFrame, lines: DataFrame) -> DataFrame:
+    """K0 to K7 over what structure.regions() has parsed: (file_id, rule_id, severity, line_no). A file without functions,
+    statements and variables has no graph, and no check."""
+    from . import structure as X
+
+    some = parsed.where((F.size("r.spans") > 0) | (F.size("r.blocks") > 0) | (F.size("r.declared") > 0)).select("file_id")
+    blocks, spans, segments = X.sql_blocks(parsed), X.parsed_spans(parsed), X.c_segments(parsed)
+    variables, events, edges = X.host_variables(parsed, blocks), X.cursor_events(blocks), call_edges(lines, spans)
+    named = lambda d, rule, severity: d.select("file_id", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), "line_no")
+    parts = [
+        named(undeclared_host_vars(blocks, variables.where("c_type <> 'unknown'")), "CROSS_HOST_VAR_UNDECLARED", "critical"),
+        named(type_mismatches(blocks, variables), "CROSS_HOST_VAR_TYPE_MISMATCH", "high"),
+        named(cursor_function_split(events, edges), "CROSS_CURSOR_FUNC_SPLIT", "high"),
+        cursor_rules(cursor_lifecycle(events)).where("rule_id = 'CROSS_CURSOR_INCOMPLETE'").select("file_id", "rule_id", "severity", "line_no"),
+        no_error_path(blocks, segments).select("file_id", "rule_id", "severity", "line_no"),
+        named(transaction_split(blocks, edges), "CROSS_TRANSACTION_SPLIT", "medium"),
+        file_rules(blocks).where("rule_id = 'CROSS_TRANSACTION_MISSING_ROLLBACK'").select("file_id", "rule_id", "severity", "line_no"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(some.distinct(), "file_id", "left_semi")

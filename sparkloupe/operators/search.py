@@ -2,66 +2,79 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Named patterns by language.
+#: Named patterns by language; those of SQL and embedded SQL ignore case.
 PATTERNS: dict[str, dict[str, str]] = {
     "javascript": {
-        "function_def": r"\bfunction\s+(\w+)\s*\(",
-        "import": r"\bimport\b.*\bfrom\s+['\"]([^'\"]+)['\"]",
-        "class_def": r"\bclass\s+(\w+)",
-        "async_function": r"\basync\s+function\s+(\w+)",
-        "event_listener": r"\.addEventListener\(\s*['\"](\w+)['\"]",
-        "dom_manipulation": r"\.(innerHTML|outerHTML|appendChild|removeChild)\b",
+        "function_def": r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\(.*?\)\s*=>))",
+        "import": r"(?:import\s+.*?from\s+['\"](.+?)['\"]|require\s*\(\s*['\"](.+?)['\"]\s*\))",
+        "class_def": r"class\s+(\w+)",
+        "async_function": r"async\s+function\s+(\w+)",
+        "event_listener": r"\.addEventListener\s*\(\s*['\"](\w+)['\"]",
+        "dom_manipulation": r"(?:innerHTML|outerHTML|document\.write|eval)\s*[=(]",
     },
     "c": {
-        "function_def": r"^\s*[A-Za-z_][\w\s*]*\s[*]*(\w+)\s*\([^;]*$",
-        "include": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",
-        "malloc": r"\b(malloc|calloc|realloc)\s*\(",
-        "free": r"\b(free)\s*\(",
-        "strcpy": r"\b(strcpy|strncpy)\s*\(",
-        "sprintf": r"\b(sprintf|snprintf)\s*\(",
+        "function_def": r"^\s*(?:\w+\s+)+(\w+)\s*\([^)]*\)\s*\{",
+        "include": r"#include\s+[<\"](.+?)[>\"]",
+        "malloc": r"\bmalloc\s*\(",
+        "free": r"\bfree\s*\(",
+        "strcpy": r"\bstrcpy\s*\(",
+        "sprintf": r"\bsprintf\s*\(",
     },
     "proc": {
-        "exec_sql": r"(?i)\bEXEC\s+SQL\s+(\w+)",
-        "include": r"(?i)\bEXEC\s+SQL\s+INCLUDE\s+(\w+)",
-        "declare_section": r"(?i)\b(BEGIN|END)\s+DECLARE\s+SECTION",
-        "sqlca_check": r"(?i)\b(sqlca\.sqlcode|SQLCODE)\b",
-        "cursor_open": r"(?i)\bEXEC\s+SQL\s+OPEN\s+(\w+)",
-        "cursor_close": r"(?i)\bEXEC\s+SQL\s+CLOSE\s+(\w+)",
-        "commit": r"(?i)\bEXEC\s+SQL\s+(COMMIT)\b",
-        "rollback": r"(?i)\bEXEC\s+SQL\s+(ROLLBACK)\b",
+        "exec_sql": r"EXEC\s+SQL\b",
+        "include": r"(?:EXEC\s+SQL\s+INCLUDE\s+(\w+)|#include\s+[<\"](.+?)[>\"])",
+        "declare_section": r"EXEC\s+SQL\s+(?:BEGIN|END)\s+DECLARE\s+SECTION",
+        "sqlca_check": r"sqlca\.sqlcode",
+        "cursor_open": r"EXEC\s+SQL\s+OPEN\s+(\w+)",
+        "cursor_close": r"EXEC\s+SQL\s+CLOSE\s+(\w+)",
+        "commit": r"EXEC\s+SQL\s+COMMIT",
+        "rollback": r"EXEC\s+SQL\s+ROLLBACK",
     },
     "sql": {
-        "select_star": r"(?i)\bSELECT\s+(\*)",
-        "function_in_where": r"(?i)\bWHERE\b.*\b(\w+)\s*\(",
-        "like_wildcard": r"(?i)\bLIKE\s+'(%[^']*)'",
-        "subquery": r"(?i)\(\s*(SELECT)\b",
-        "join": r"(?i)\b(JOIN)\b",
-        "or_condition": r"(?i)\bWHERE\b.*\b(OR)\b",
+        "select_star": r"\bSELECT\s+\*",
+        "function_in_where": r"WHERE\s+.*?(?:YEAR|MONTH|UPPER|LOWER|TRIM|TO_CHAR|TO_DATE|NVL)\s*\(",
+        "like_wildcard": r"LIKE\s+['\"]%",
+        "subquery": r"\(\s*SELECT\b",
+        "join": r"\bJOIN\b",
+        "or_condition": r"\bOR\b",
     },
 }
-
+CASELESS = ("sql", "proc")
 #: Fixed values: (rule, severity, category, pattern on a line without comments and with empty literals).
 C_RULES = (
     ("UNSAFE_FUNC", "high", "memory_safety", r"\b(strcpy|sprintf|strcat|gets|scanf|vsprintf)\s*\("),
     ("BOUNDED_FUNC", "medium", "memory_safety", r"\b(strncpy|memcpy|memset|memmove|snprintf)\s*\("),
-    ("MALLOC_NO_CHECK", "high", "null_safety", r"\w\s*=\s*(\([^)]*\)\s*)?(malloc|calloc|realloc)\s*\("),
-    ("BUFFER_INDEX", "medium", "memory_safety", r"\w\[[A-Za-z_]\w*\]"),
-    ("FORMAT_STRING", "high", "security", r"\b(printf|syslog)\s*\(\s*[^\"\s)]"),
-)
-#: Classes of code patterns and imports by language.
-CODE_PATTERNS = (
-    ("error_handling", r"(?i)\b(sqlca|errno|catch|perror|WHENEVER)\b"),
-    ("logging", r"\b(printf|fprintf|syslog|console)\b"),
-    ("memory_management", r"\b(malloc|calloc|realloc|free)\s*\("),
-    ("transaction", r"(?i)\b(COMMIT|ROLLBACK|SAVEPOINT)\b"),
+    ("MALLOC_NO_CHECK", "high", "null_safety", r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\("),
+    ("BUFFER_INDEX", "medium", "memory_safety", r"(\w+)\s*\[\s*([a-zA-Z_]\w*)\s*\]"),
+    ("FORMAT_STRING", "high", "security", r"\b(printf|syslog)\s*\(\s*[^\"']"),
 )
+#: Classes of code patterns by language.
+PATTERN_TYPES = ("error_handling", "logging", "memory_management", "transaction")
+CODE_PATTERNS = {
+    "javascript": {"error_handling": r"(?:try\s*\{|\.catch\s*\(|if\s*\(.*(?:err|error|null|undefined))", "logging": r"console\.(?:log|warn|error|info)\s*\("},
+    "c": {"error_handling": r"(?:if\s*\(.*(?:NULL|== -1|< 0)|goto\s+\w+)", "logging": r"(?:printf|fprintf|syslog|log_error)\s*\(", "memory_management": r"\b(?:malloc|calloc|realloc|free)\s*\("},
+    "proc": {
+        "error_handling": r"(?i)(?:WHENEVER\s+SQLERROR|sqlca\.sqlcode)",
+        "logging": r"(?:printf|fprintf|syslog|log_error)\s*\(",
+        "memory_management": r"\b(?:malloc|calloc|realloc|free)\s*\(",
+        "transaction": r"(?i)EXEC\s+SQL\s+(?:COMMIT|ROLLBACK)",
+    },
+    "sql": {"transaction": r"(?i)\b(?:COMMIT|ROLLBACK|BEGIN\s+TRANSACTION)\b"},
+    "xml": {},
+}
 #: Words before a parenthesis that aren't calls.
-NOT_CALLS = "if else for while do switch case return sizeof typeof catch function int char long short float double void static struct union enum const unsigned signed EXEC SQL SELECT INSERT INTO VALUES UPDATE DELETE FROM WHERE AND OR NOT IN EXISTS INTEGER VARCHAR DECLARE CURSOR new delete typedef extern goto break continue default".split()
+NOT_CALLS = (
+    "if for while switch return sizeof typeof catch throw case default else do int void char float double long short unsigned signed struct enum union typedef "
+    "const static extern register volatile EXEC SQL BEGIN END DECLARE SECTION SELECT INSERT UPDATE DELETE FROM WHERE OPEN CLOSE FETCH COMMIT ROLLBACK WHENEVER "
+    "INCLUDE INTO VALUES SET ORDER GROUP HAVING function class var let import export async await new delete require"
+).split()
 
 
 def source_lines(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
@@ -83,20 +96,44 @@ def grep(lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def structural_search(lines: DataFrame, language: str | None = None, name: str | None = None, custom: str | None = None) -> DataFrame:
-    """Named patterns of a language, one of them, or a custom one: (file_id, line_no, pattern, capture)."""
+    """Named patterns of a language, one of them, or a custom one: (file_id, line_no, pattern, match, capture): the first
+    match of a line and the first of its groups that took part, null for none."""
+    if language is not None and language not in PATTERNS:
+        raise ValueError(f"no patterns for {language!r}, only for {', '.join(PATTERNS)}")
     wanted = {"custom": custom} if custom else {k: v for k, v in PATTERNS[language or "c"].items() if name in (None, k)}
-    hit = lambda n, p: F.when(F.col("raw").rlike(p), F.struct(F.lit(n).alias("pattern"), F.regexp_extract("raw", p, 1).alias("capture")))
+
+    def hit(n: str, p: str) -> Column:
+        groups = range(1, re.compile(p).groups + 1)
+        p = f"(?i){p}" if language in CASELESS else p
+        capture = F.coalesce(*[F.nullif(F.regexp_extract("raw", p, i), F.lit("")) for i in groups], F.lit(None).cast("string"))
+        return F.when(F.col("raw").rlike(p), F.struct(F.lit(n).alias("pattern"), F.regexp_extract("raw", p, 0).alias("match"), capture.alias("capture")))
+
     hits = F.filter(F.array(*[hit(n, p) for n, p in wanted.items()]), lambda x: x.isNotNull())
-    return lines.select("file_id", "line_no", F.explode(hits).alias("h")).select("file_id", "line_no", "h.pattern", "h.capture")
+    return lines.select("file_id", "line_no", F.inline(hits))
+
+
+def rule_hits(code: Column, rules=C_RULES) -> Column:
+    """The rules that a line without comments and literals breaks, as an array of (rule_id, severity, category)."""
+    hit = lambda r: F.when(code.rlike(r[3]), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category")))
+    return F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
 
 
 def scan_rules(lines: DataFrame, rules=C_RULES, code: Column | None = None) -> DataFrame:
     """finding(file_id, line_no, rule_id, severity, category, raw_match): one for each line and rule."""
-    on = T.blank_strings(F.col("raw")) if code is None else code
-    hit = lambda r: F.when(F.col("_code").rlike(r[3]), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category")))
-    hits = F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
-    rows = lines.withColumn("_code", on)
-    return rows.select("file_id", "line_no", F.explode(hits).alias("h"), F.trim("raw").alias("raw_match")).select("file_id", "line_no", "h.rule_id", "h.severity", "h.category", "raw_match")
+    rows = lines.withColumn("_code", T.blank_strings(F.col("raw")) if code is None else code)
+    return rows.select("file_id", "line_no", F.trim("raw").alias("raw_match"), F.inline(rule_hits(F.col("_code"), rules))).select("file_id", "line_no", "rule_id", "severity", "category", "raw_match")
+
+
+def scan_rules_in_functions(files: DataFrame, rules=C_RULES) -> DataFrame:
+    """scan_rules of files(file_id, content) with func_name. A file's findings and spans are made beside each
+    other, so there is neither a shuffle nor a join."""
+    from .structure import spans_column
+
+    found = lambda line, i: F.flatten(F.transform(F.array(T.blank_strings(line)), lambda code: F.transform(rule_hits(code, rules), lambda h: F.struct((i + 1).cast("long").alias("line_no"), F.trim(line).alias("raw_match"), h["rule_id"].alias("rule_id"), h["severity"].alias("severity"), h["category"].alias("category")))))
+    rows = files.select("file_id", spans_column(F.col("content")).alias("_s"), F.flatten(F.transform(T.lines(F.col("content")), found)).alias("_f"))
+    rows = rows.select("file_id", "_s", F.inline("_f"))
+    inside = F.get(F.filter("_s", lambda s: F.col("line_no").between(s["line_start"], s["line_end"])), 0)
+    return rows.select("file_id", "line_no", "rule_id", "severity", "category", "raw_match", inside["func_name"].alias("func_name"))
 
 
 def memset_mismatch(lines: DataFrame) -> DataFrame:
@@ -114,9 +151,10 @@ def unclosed_files(lines: DataFrame) -> DataFrame:
 
 
 def calls(lines: DataFrame) -> DataFrame:
-    """call_fact(file_id, name, line_no), distinct; keywords, comment lines and preprocessor lines don't count."""
-    names = F.regexp_extract_all("raw", F.lit(r"([A-Za-z_]\w+)\s*\("), F.lit(1))
-    rows = lines.where(~F.col("raw").rlike(r"^\s*(#|//|/\*|\*)")).select("file_id", "line_no", F.explode(names).alias("name"))
+    """call_fact(file_id, name, line_no), distinct; keywords, comment lines and preprocessor lines don't count."""
+    names = F.regexp_extract_all("raw", F.lit(r"\b(\w{2,})\s*\("), F.lit(1))
+    text = F.regexp_replace("raw", r"^\s+", "")
+    rows = lines.where(~text.rlike(r"^(#|//|/\*|\* )")).select("file_id", "line_no", F.explode(F.array_distinct(names)).alias("name"))
     return rows.where(~F.col("name").isin(NOT_CALLS)).distinct()
 
 
@@ -128,15 +166,18 @@ def imports(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("raw").rlike(p)).select("file_id", "line_no", target.alias("target"), outside.alias("external"))
 
 
-def code_patterns(lines: DataFrame) -> DataFrame:
-    """pattern_fact(file_id, line_no, pattern_type)."""
-    hits = F.filter(F.array(*[F.when(F.col("raw").rlike(p), F.lit(n)) for n, p in CODE_PATTERNS]), lambda x: x.isNotNull())
+def code_patterns(lines: DataFrame, language: str | Column = "proc") -> DataFrame:
+    """pattern_fact(file_id, line_no, pattern_type) by the patterns of a language, one for all lines or a column."""
+    of = F.lit(language) if isinstance(language, str) else language
+    hit = lambda lang, n, p: F.when((of == lang) & F.col("raw").rlike(p), F.lit(n))
+    wanted = [hit(lang, n, p) for lang, patterns in CODE_PATTERNS.items() for n, p in patterns.items() if not isinstance(language, str) or lang == language]
+    hits = F.filter(F.array(*wanted, F.lit(None).cast("string")), lambda x: x.isNotNull())
     return lines.select("file_id", "line_no", F.explode(hits).alias("pattern_type"))
 
 
 def pattern_frequencies(facts: DataFrame) -> DataFrame:
-    """A count for each file and each of the four types, zero where there is none."""
-    return facts.groupBy("file_id").agg(*[F.count_if(F.col("pattern_type") == n).alias(n) for n, _ in CODE_PATTERNS])
+    """A5: a count for each file and each of the four types, zero where there is none."""
+    return facts.groupBy("file_id").agg(*[F.count_if(F.col("pattern_type") == n).alias(n) for n in PATTERN_TYPES])
 
 
 def enclosing(rows: DataFrame, spans: DataFrame, line: str = "line_no") -> DataFrame:

@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import embedded_sql as E
-from ..operators import issues as I
 from ..operators import search as S
 from ..operators import structure as X
 from ..sources import tool_output as TO
 from ..sources.files import include_closure
 from ._base import PROC_DUCK, proc_lines, query, table
 from .issues import _DUCK as _ISSUE
-from .issues import _QUIET, _grouped, _issues
-from .source import _BLOCK, _FILES, _NAME, _RULES, _SPAN, _parsed, _files
-from .source import _CODE as _CODE_CTE
+from .issues import _issues
+from .source import _BLOCK, _CALL, _FILES, _RULES, _SPAN, _files, _parsed
 
 
 def _spans(spark, sf_dir):
     return X.function_spans(_files(spark, sf_dir))
 
 
-@query(f"with {_FILES}, s as (select file_id, content, case file_id % 2 when 0 then regexp_replace(regexp_replace(content, '/\\*.*?\\*/', '', 'g'), '//[^\\n]*', '', 'g') else content end as code from source_file) select file_id, case file_id % 2 when 0 then 'proc' else 'other' end as language, code, (length(content) - length(code))::bigint as removed, true as lines_kept from s")
+@query(f"""with {_FILES}, s as (select file_id, case file_id % 5 when 4 then content || '<!-- 1-2 -->' else content || '"1-2"' end as content from source_file), c as (select file_id, content, case file_id % 5 when 3 then content when 4 then replace(content, '<!-- 1-2 -->', '') else replace(regexp_replace(regexp_replace(content, '/\\*.*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '"1-2"', '"1*2"') end as code from s)
+ select file_id, case file_id % 5 when 0 then 'proc' when 1 then 'javascript' when 2 then 'c' when 3 then 'other' else 'xml' end as language, code, (length(content) - length(code))::bigint as removed, true as lines_kept from c""")
 def p7_strip_corpus(spark, sf_dir):
-    return C.strip_corpus(_files(spark, sf_dir).withColumn("language", F.when(F.col("file_id") % 2 == 0, "proc").otherwise("other")))
+    """A literal with a hyphen, or a comment of markup, ends each file."""
+    k = F.col("file_id") % 5
+    language = F.when(k == 0, "proc").when(k == 1, "javascript").when(k == 2, "c").when(k == 3, "other").otherwise("xml")
+    content = F.concat("content", F.when(k == 4, "<!-- 1-2 -->").otherwise('"1-2"'))
+    return C.strip_corpus(_files(spark, sf_dir).withColumns({"language": language, "content": content}))
 
 
 @query(f"with {_FILES}, n as (select *, string_split(content, chr(10)) as l from source_file) select file_id, case when len(l) > 20 then array_to_string(l[1:8], chr(10)) || chr(10) || 'summary' || chr(10) || array_to_string(l[len(l)-3:], chr(10)) else content end as content from n")
@@ -33,17 +36,26 @@ def p13_optimise(spark, sf_dir):
     return _files(spark, sf_dir).select("file_id", C.optimise(F.col("content"), F.lit("summary"), 20, 8, 4).alias("content"))
 
 
-@query(f"with {_BLOCK} select file_id, name, 'unknown' as c_type, min(line_start) as line from (select file_id, line_start, unnest(host_vars) as name from block) group by file_id, name")
-def x8_host_variables(spark, sf_dir):
-    """No file has a declare section, so every variable is one that SQL uses."""
-    _, _, parsed, blocks = _parsed(spark, sf_dir)
-    return X.host_variables(parsed, blocks)
+#: Statements put after each file: cursors of statements that are prepared from a literal, from a buffer that two lines
+#: fill, and from one that no line fills.
+_PREPARED = (
+    "EXEC SQL PREPARE p1 FROM \"SELECT 1 FROM a\";",
+    "EXEC SQL DECLARE c1 CURSOR FOR p1;",
+    "snprintf((char *)q.arr, 10, \"SELECT x \"",
+    "  \"FROM \\\"b\\\" WHERE y = %d\", n);",
+    "EXEC SQL PREPARE p2 FROM :q;",
+    "EXEC SQL DECLARE c2 CURSOR FOR p2;",
+    "strcpy(w, \"UPDATE z\");",
+    "EXEC SQL PREPARE p3 FROM :w;",
+    "EXEC SQL DECLARE c3 CURSOR FOR p3;",
+)
 
 
-@query(f"with {_BLOCK} select file_id, regexp_extract(sql_text, '^DECLARE (\\w+)', 1) as cursor, regexp_extract(sql_text, 'FOR (SELECT.*)$', 1) as body from block where kind = 'DECLARE'")
+@query(f"with {_BLOCK} select file_id, regexp_extract(sql_text, '^DECLARE (\\w+)', 1) as cursor, regexp_extract(sql_text, 'FOR (SELECT.*)$', 1) as body from block where kind = 'DECLARE' union all select file_id, c.cursor, c.body from source_file, (values ('c1', 'SELECT 1 FROM a'), ('c2', 'SELECT x FROM \"b\" WHERE y = %d'), ('c3', null)) c(cursor, body)")
 def x10_cursor_bodies(spark, sf_dir):
-    _, _, _, blocks = _parsed(spark, sf_dir)
-    return C.cursor_bodies(blocks, proc_lines(spark, sf_dir))
+    files = _files(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n" + "\n".join(_PREPARED))))
+    _, _, _, blocks = _parsed(spark, sf_dir, files)
+    return C.cursor_bodies(blocks, S.source_lines(files))
 
 
 _TOP = "top as (select file_id, line_no, raw from source_line union all select distinct file_id, -2, '#include <stdio.h>' from source_line union all select distinct file_id, -1, '#define N 3' from source_line union all select distinct file_id, 0, 'static int total = 0;' from source_line)"
@@ -69,12 +81,12 @@ def x14_imports(spark, sf_dir):
     return S.imports(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.lit(1).cast("long").alias("line_no"), raw.alias("raw")))
 
 
-@query(f"with {PROC_DUCK}, {_SPAN} select file_id, string_agg('[L' || line_start || '~L' || line_end || '] static int ' || func_name || '(int a, char *src) - 8 lines', chr(10) order by line_start) as summary from span group by file_id")
+@query(f"with {PROC_DUCK}, {_SPAN} select file_id, string_agg('[L' || line_start || '~L' || line_end || '] static int ' || func_name || '(int a, char *src) - ' || line_count || ' lines', chr(10) order by line_start) as summary from span group by file_id")
 def x24_function_summary(spark, sf_dir):
     return C.function_summary(_spans(spark, sf_dir))
 
 
-@query(f"with {PROC_DUCK}, {_SPAN}, c as (select distinct file_id, unnest(regexp_extract_all(raw, '([A-Za-z_]\\w+)\\s*\\(', 1)) as name from source_line), d as (select file_id, count(*) as n, list_sort(list(name)) as l from c where name not in ({', '.join(repr(w) for w in S.NOT_CALLS)}) group by file_id), f as (select file_id, count(*) as n, list_sort(list(func_name)) as l from span group by file_id) select file_id, f.n as n_functions, d.n as n_calls, 0::bigint as n_imports, array_to_string(f.l[1:20], ', ') as functions, array_to_string(d.l[1:20], ', ') as calls, '' as imports from f join d using (file_id)")
+@query(f"with {PROC_DUCK}, {_SPAN}, {_CALL}, c as (select distinct file_id, name from distinct_call), d as (select file_id, count(*) as n, list_sort(list(name)) as l from c group by file_id), f as (select file_id, count(*) as n, list_sort(list(func_name)) as l from span group by file_id) select file_id, f.n as n_functions, d.n as n_calls, 0::bigint as n_imports, array_to_string(f.l[1:20], ', ') as functions, array_to_string(d.l[1:20], ', ') as calls, '' as imports from f join d using (file_id)")
 def x23_structure_summary(spark, sf_dir):
     lines = proc_lines(spark, sf_dir)
     return C.structure_summary(S.imports(lines), S.calls(lines), _spans(spark, sf_dir))
@@ -92,18 +104,20 @@ def x26_statement_spans(spark, sf_dir):
     return C.statement_spans(S.source_lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), text.alias("content"))))
 
 
-@query(f"with {PROC_DUCK}, {_SPAN} select file_id, case fn % 3 when 0 then 'z_' || func_name else func_name end as func_name, line_start, case fn % 3 when 0 then 'utility' else 'dispatch' end as function_class from span")
+@query(f"with {PROC_DUCK}, {_SPAN}, n as (select file_id, line_start, fn, case fn % 6 when 0 then 'z' || (10 + fn) || '_' || func_name when 1 then 'rep_' || func_name when 2 then 'B10_' || func_name when 3 then func_name || '_init_proc' else func_name end as func_name, case fn % 6 when 0 then 'z' when 1 then 'rep' end as g from span) select file_id, func_name, line_start, case when fn % 6 = 3 then 'boilerplate' when g is not null and count(*) over (partition by file_id, g) > 1 then 'utility' else 'dispatch' end as function_class from n")
 def x29_function_classes(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    return C.function_classes(spans.withColumn("func_name", F.when(F.floor(F.col("line_start") / 8) % 3 == 0, F.concat(F.lit("z_"), "func_name")).otherwise(F.col("func_name"))))
+    fn = F.regexp_extract("func_name", r"(\d+)$", 1).cast("int") - 1
+    name = F.when(fn % 6 == 0, F.concat(F.lit("z"), (fn + 10).cast("string"), F.lit("_"), "func_name")).when(fn % 6 == 1, F.concat(F.lit("rep_"), "func_name")).when(fn % 6 == 2, F.concat(F.lit("B10_"), "func_name")).when(fn % 6 == 3, F.concat("func_name", F.lit("_init_proc"))).otherwise(F.col("func_name"))
+    return C.function_classes(spans.withColumn("func_name", name))
 
 
-@query(f"with {PROC_DUCK}, {_CODE_CTE}, f as ({_RULES}) select rule_id, count(*) as n, count(distinct file_id) as files from f group by rule_id")
+@query(f"with {PROC_DUCK}, f as ({_RULES}) select rule_id, count(*) as n, count(distinct file_id) as files from f group by rule_id")
 def a7_rule_counts(spark, sf_dir):
     return C.rule_counts(S.scan_rules(proc_lines(spark, sf_dir)))
 
 
-@query(f"with {PROC_DUCK}, {_SPAN} select file_id, count(*) as functions, 8.0::double as mean_lines, 8::bigint as least, 8::bigint as greatest from span group by file_id")
+@query(f"with {PROC_DUCK}, {_SPAN} select file_id, count(*) as functions, avg(line_count) as mean_lines, min(line_count) as least, max(line_count) as greatest from span group by file_id")
 def a12_group_stats(spark, sf_dir):
     return C.group_stats(_spans(spark, sf_dir))
 
@@ -138,17 +152,6 @@ def w16_related_variables(spark, sf_dir):
     return C.related_variables(blocks, X.transaction_points(blocks).where("kind = 'COMMIT'"))
 
 
-@query(f"with {_ISSUE}, quiet as (select * from issue where {_QUIET.replace('lower(title) || chr(32) || lower(description)', 'lower(title)')}), {_grouped('quiet')} select * from merged")
-def w6_c_dedup(spark, sf_dir):
-    return I.merge_groups(I.drop_noise(_issues(spark, sf_dir), title_only=True))
-
-
-@query(f"with {_ISSUE} select * exclude (static_rule) replace ('FCLOSE_MISSING' as title) from issue where static_rule = 'RULE_3'")
-def w8_promote(spark, sf_dir):
-    rows = _issues(spark, sf_dir).withColumn("rule_id", F.when(F.col("static_rule") == "RULE_3", "FCLOSE_MISSING").otherwise(F.col("static_rule")))
-    return I.promote(rows).withColumn("title", F.col("rule_id")).drop("rule_id", "static_rule")
-
-
 @query(f"with {_ISSUE}, s as (select distinct file_id from issue), x as (select distinct file_id from issue where severity = 'critical') select file_id, case when file_id in (select file_id from x) then 'error_focused' else 'whole' end as route from s")
 def w22_routes(spark, sf_dir):
     rows = _issues(spark, sf_dir)
@@ -206,13 +209,14 @@ def s14_response_text(spark, sf_dir):
     return TO.response_text(rows.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.to_json(F.struct(F.concat(F.col("turn").cast("string"), F.lit(";")).alias("token"))).alias("raw")))
 
 
-@query("with t as (select p_partkey as file_id, p_size % 2 as k, case p_size % 3 when 0 then 'int' when 1 then 'char[20]' else 'VARCHAR' end as c_type from part) select file_id, 'v1' as name, case k when 0 then 'TO_NUMBER' else 'TO_CHAR' end as context, c_type, 1::bigint as line_no from t where (k = 0) = (c_type = 'int')")
+@query("with t as (select p_partkey as file_id, p_size, p_size % 2 as k, case p_size % 6 when 0 then 'int' when 1 then 'char[20]' when 2 then 'VARCHAR' when 3 then 'unsigned long *' when 4 then 'double' else 'char' end as c_type from part) select file_id, 'v1' as name, case k when 0 then 'NUMBER' else 'VARCHAR' end as context, c_type, 1::bigint as line_no from t where p_size % 7 <> 0 and (k = 0 and c_type in ('char[20]', 'char') or k = 1 and c_type in ('int', 'unsigned long *', 'double'))")
 def k2_type_mismatches(spark, sf_dir):
+    """K2: six types; every seventh statement isn't one that is looked at."""
     part = table(spark, sf_dir, "part")
     size = F.col("p_size")
-    sql = F.concat(F.lit("SELECT "), F.when(size % 2 == 0, "TO_NUMBER").otherwise("TO_CHAR"), F.lit("(:v1) INTO :v2 FROM t"))
-    blocks = part.select(F.col("p_partkey").alias("file_id"), sql.alias("sql_text"), F.lit(1).cast("long").alias("line_start"))
-    kind = F.when(size % 3 == 0, "int").when(size % 3 == 1, "char[20]").otherwise("VARCHAR")
+    sql = F.concat(F.lit("SELECT "), F.when(size % 2 == 0, "TO_NUMBER").otherwise("to_char"), F.lit(" (x || :v1) INTO :v2 FROM t"))
+    blocks = part.select(F.col("p_partkey").alias("file_id"), F.when(size % 7 == 0, "DELETE").otherwise("SELECT").alias("kind"), sql.alias("sql_text"), F.array(F.lit("v1"), F.lit("v2")).alias("host_vars"), F.lit(1).cast("long").alias("line_start"))
+    kind = F.when(size % 6 == 0, "int").when(size % 6 == 1, "char[20]").when(size % 6 == 2, "VARCHAR").when(size % 6 == 3, "unsigned long *").when(size % 6 == 4, "double").otherwise("char")
     return E.type_mismatches(blocks, part.select(F.col("p_partkey").alias("file_id"), F.lit("v1").alias("name"), kind.alias("c_type")))
 
 
@@ -253,3 +257,13 @@ def s7_language(spark, sf_dir):
     size = F.col("p_size")
     path = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(size % 4 == 0, ".JS").when(size % 4 == 1, ".h").when(size % 4 == 2, ".pc").otherwise(".md"))
     return with_language(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), path.alias("path")))
+
+
+@query("with f as (select p_partkey, 'src/' || case p_size % 3 when 0 then './' when 1 then 'x/../' else '' end || 'f' || p_partkey || '.c' as raw, '/r/src/f' || p_partkey || '.c' as whole from part) select case p_partkey % 2 when 0 then raw else whole end as path, p_partkey as note from f")
+def j1_contexts(spark, sf_dir):
+    """Contexts by the path as it is written, and by the path that it means."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.concat(F.lit("src/"), F.when(size % 3 == 0, "./").when(size % 3 == 1, "x/../").otherwise(""), F.lit("f"), key.cast("string"), F.lit(".c"))
+    part = table(spark, sf_dir, "part").select(key, raw.alias("raw"))
+    files = part.select(F.when(key % 2 == 0, F.col("raw")).otherwise(F.concat(F.lit("/r/src/f"), key.cast("string"), F.lit(".c"))).alias("path"))
+    return C.with_contexts(files, part.select(F.col("raw").alias("path"), key.alias("seq"), key.alias("note")), "/r")

@@ -8,9 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloupe.functions import text as T
+from sparkloupe.operators import embedded_sql as E
 from sparkloupe.operators import issues as I
 from sparkloupe.operators import markup as M
 from sparkloupe.operators import pii as P
+from sparkloupe.operators import report as R
 from sparkloupe.operators import search as S
 from sparkloupe.operators import sql_lint as Q
 from sparkloupe.operators import structure as X
@@ -85,7 +87,59 @@ def test_regions():
     assert [(b["kind"], b["line_start"], b["line_end"], b["host_vars"], b["indicators"], b["has_sqlca_check"]) for b in blocks] == [("SELECT", 7, 8, ["name"], ["ind"], True), ("UPDATE", 10, 10, ["no"], [], True)]
     assert blocks[0]["whenever"] and blocks[1]["whenever"] is None
     assert [(d["name"], d["c_type"]) for d in declared] == [("name", "char[20]"), ("no", "int")]
-    assert segments[-1] == {"line_start": 13, "line_end": 13}
+    assert segments == [{"line_start": 5, "line_end": 13, "func_name": "f", "error_path": True}]  # short islands join, with GOTO between
+    assert [b["func_name"] for b in blocks] == ["f", "f"]
+
+
+def test_segments_end_with_their_function_and_know_ways_out():
+    text = "int f()\n{\nEXEC SQL COMMIT;\n a = 1;\n}\nint g()\n{\nEXEC SQL UPDATE t SET a = 1;\n if (sqlca.sqlcode) return 1;\n}"
+    blocks, segments, _ = X.regions_of(text)
+    assert segments == [{"line_start": 1, "line_end": 7, "func_name": "f", "error_path": False}, {"line_start": 9, "line_end": 10, "func_name": "g", "error_path": True}]
+    assert [(b["func_name"], b["has_sqlca_check"]) for b in blocks] == [("f", True), ("g", True)]
+
+
+def test_next_segment_is_of_the_same_function(spark):
+    files = spark.createDataFrame([(1, "int f()\n{\n a;\n b;\n c;\nEXEC SQL UPDATE t SET a = 1;\n}\nint g()\n{\n a;\n b;\nEXEC SQL UPDATE t SET a = 1;\n x = sqlca.sqlcode;\n}")], "file_id long, content string")
+    parsed = X.regions(files)
+    blocks, segments = X.sql_blocks(parsed), X.c_segments(parsed)
+    assert {r["block_no"]: (r["segment_start"], r["segment_end"]) for r in E.next_segment(blocks, segments).collect()} == {1: (7, 11), 2: (13, 14)}
+    assert [(r["line_no"], r["line_end"]) for r in E.no_error_path(blocks, segments).orderBy("line_no").collect()] == [(6, 11), (12, 14)]  # a check in the next 200 characters counts, whatever function it is in
+
+
+def test_exit_codes(spark):
+    issues = spark.createDataFrame([(1, "critical")], "file_id long, severity string")
+    of = lambda rows, found=issues: I.overall_risk(spark.createDataFrame(rows, "file_id long, error string, file_error string"), found).first()
+    assert (of([(1, None, None)])["exit_code"], of([(1, None, None)])["risk"]) == (1, "CRITICAL")
+    assert of([(1, "x", None)])["exit_code"] == 3 and of([(1, None, "missing")], issues.where("false"))["exit_code"] == 2
+    assert of([(1, None, None), (2, None, "missing")], issues.where("false"))["exit_code"] == 0
+
+
+def test_unmatched_parens(spark):
+    rows = spark.createDataFrame([(1, "SELECT (a\nFROM \"it's ( x\" -- (\n/* ( */ '('\n)) ("), (2, "()"), (3, None), (4, "")], "file_id long, content string")
+    assert sorted(map(tuple, Q.unmatched_parens(rows).collect())) == [(1, "(", 4), (1, ")", 4)]
+
+
+def test_levels_of_a_chain_with_a_cycle_behind_it(spark):
+    from sparkloupe.sources.files import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(20, 21), (21, 20), (22, 20)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(9), 20, 21, 22]], "node long")
+    got = {r["node"]: (r["level"], r["cyclic"]) for r in I.topological_levels(nodes, edges).collect()}
+    assert got == {i: (8 - i, False) for i in range(9)} | {i: (9, True) for i in (20, 21, 22)}
+
+
+def test_report_of_files_with_and_without_issues(spark):
+    files = spark.createDataFrame([(1, "a|b.c", "c", 5, "/* Module */", None), (2, "d.sql", "sql", 0, None, None), (3, "x.md", None, 1, "", "e")], "file_id long, path string, language string, line_count long, first_line string, error string")
+    issues = spark.createDataFrame([(1, 1, "PC-001", "high", "security", "A | b", None, 0, 0, "llm", "", None)], "file_id long, seq long, issue_id string, severity string, category string, title string, description string, line_start long, line_end long, source string, before string, after string")
+    got = {r["file_id"]: r["markdown"] for r in R.markdown(files, issues).collect()}
+    assert set(got) == {1, 2, 3} and all(t.count("\n## ") == 7 for t in got.values())
+    assert "| HIGH | PC-001 | A \\| b | security | llm | [링크](#high-pc-001-a-b) |" in got[1] and "- **위치**: `a|b.c`" in got[1] and "설명" not in got[1]
+    assert "Module 배포" in got[1] and "> 이슈 없음" in got[2] and "분석 불가" in got[3]
+    import json
+
+    docs = {r["file_id"]: [json.loads(r[c]) for c in ("issue_list", "checklist", "summary", "deployment_checklist")] for r in R.json_documents(files, issues).collect()}
+    assert docs[1][0]["total_issues"] == 1 and docs[2][1] == {"total_checks": 0, "items": []} and docs[3][3] == {"total_items": 0, "sections": []}
 
 
 def test_greedy_anchors_go_by_the_first_member(spark):
@@ -162,8 +216,8 @@ def test_tool_outputs(spark):
 
 def test_structural_search_and_grep(spark):
     lines = spark.createDataFrame([(1, 1, "  SELECT * FROM t"), (1, 2, "x")], "file_id long, line_no long, raw string")
-    assert [tuple(r) for r in S.structural_search(lines, "sql", "select_star").collect()] == [(1, 1, "select_star", "*")]
-    assert [tuple(r) for r in S.structural_search(lines, custom="(F\\w+)").collect()] == [(1, 1, "custom", "FROM")]
+    assert [tuple(r) for r in S.structural_search(lines, "sql", "select_star").collect()] == [(1, 1, "select_star", "SELECT *", None)]
+    assert [tuple(r) for r in S.structural_search(lines, custom="(F\\w+)").collect()] == [(1, 1, "custom", "FROM", "FROM")]
     assert [tuple(r) for r in S.grep(lines, "FR").collect()] == [(1, 1, "SELECT * FROM t", "FR", 11, 13)]
 
 
