@@ -1,18 +1,19 @@
 """Mixing sources to target weights, by blocks.
 
-The words of each source are packed, document after document, into blocks of `BLOCK`. Every output shard draws a
-multinomial count of blocks from each source's quota that is left, so shards are random and the totals are exact.
-A source's slot j maps to block perm(j mod n) of epoch j div n, where perm is a pseudorandom permutation of its n
-blocks (a Feistel network with cycle walking); slots are joined to blocks by (source, index).
+The words of each source are packed, document after document, into blocks of a fixed length: `BLOCK` words, or fewer
+where a source's target is under `FINE` such blocks, so that rounding to whole blocks stays below one part in `FINE`.
+Every output shard draws a multinomial count of blocks from each source's quota that is left, so shards are random and
+the totals are exact. A source's slot j maps to block perm(j mod n) of epoch j div n, where perm is a pseudorandom
+permutation of its n blocks (a Feistel network with cycle walking); slots are joined to blocks by (source, index).
 
 Scale: sources are packed by running sums within buckets of documents, and the buckets' own sums, so that a hot
 source isn't one task. Slots are made in pieces of `SLOTS`, counted by block before the join, and the join's keys are
-spread evenly by design. Only the list of sources reaches the driver, `SOURCES` rows at most.
+spread evenly by design. Only the list of sources reaches the driver, `SOURCES` rows at most, with a vector of counts
+for each.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from ._shared import WORD, Workspace, tune
 
 BLOCK = 64
+FINE = 128
 SHARDS = 64
 SLOTS = 1 << 16
 SOURCES = 100_000
-BUCKET = 20_000
+BUCKET, BUCKETS = 20_000, 512
 CYCLE = (5, 2, 1)
 REPEATS = 3
 SEED = 7
@@ -35,23 +37,22 @@ SEED = 7
 
 def targets(sizes: list[int], weights: list[float], most: float = REPEATS) -> list[float]:
     """Shares of sum(sizes) by weight; a share over `most` times its size stops there, and the excess is shared again."""
-    out, free, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], float(sum(sizes))
-    while free:
-        weight = sum(weights[i] for i in free)
-        full = [i for i in free if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = left * weights[i] / weight
+    size, weight = np.array(sizes, "f8"), np.array(weights, "f8")
+    out, free, left = np.zeros(len(sizes)), size > 0, float(sum(sizes))
+    while free.any():
+        share = left * weight / weight[free].sum()
+        full = free & (share > most * size)
+        if not full.any():
+            out[free] = share[free]
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
-    return out
+        out[full] = most * size[full]
+        left -= float(out[full].sum())
+        free &= ~full
+    return out.tolist()
 
 
-def draws(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """counts[shard][source]: a multinomial draw for each shard by what is left of each quota; the sums are the quotas."""
+def draws(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
+    """counts[shard, source]: a multinomial draw for each shard by what is left of each quota; the sums are the quotas."""
     rng, left, out = np.random.default_rng(seed), np.array(quotas, "i8"), []
     for shard in range(shards):
         total = int(left.sum())
@@ -62,8 +63,8 @@ def draws(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
             counts = np.minimum(counts + rng.multinomial(short, rest / rest.sum()), left)
         counts = left.copy() if shard == shards - 1 else counts
         left -= counts
-        out.append(counts.tolist())
-    return out
+        out.append(counts)
+    return np.array(out)
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -99,7 +100,8 @@ def mix(spark: SparkSession, docs: DataFrame, name: str = "mix", block: int = BL
 
     A null text has no words. A null source is a source of its own, the last. Rows with equal doc_id are separate
     documents. Sources without a word have target 0. Reruns agree: nothing depends on partitions or on time. Rows
-    equal in doc_id and text are interchangeable. Other columns of docs don't matter.
+    equal in doc_id and text are interchangeable. A text longer than a block is in several. Other columns of docs don't
+    matter. Over `SOURCES` sources are an error.
     """
     tune(spark)
     space = Workspace(spark, name)
@@ -112,25 +114,27 @@ def mix(spark: SparkSession, docs: DataFrame, name: str = "mix", block: int = BL
     sizes = [r["size"] for r in sums]
     weights = [float(CYCLE[i % len(CYCLE)]) for i in range(len(sums))]
     wanted = targets(sizes, weights)
-    blocks = [-(-n // block) for n in sizes]
+    lengths = [max(1, min(block, int(t) // FINE)) for t in wanted]
+    blocks = [-(-n // b) for n, b in zip(sizes, lengths, strict=True)]
     quotas = [min(REPEATS * b, round(t * b / n)) if n else 0 for t, b, n in zip(wanted, blocks, sizes, strict=True)]
-    known = spark.createDataFrame([(i, r["source"], n, t, b, max(1, -(-r["n"] // BUCKET))) for i, (r, n, t, b) in enumerate(zip(sums, sizes, wanted, blocks, strict=True))], "source_no int, source string, source_size long, target double, blocks long, buckets int")
+    known = spark.createDataFrame([(i, r["source"], n, t, b, max(BUCKETS, -(-r["n"] // BUCKET))) for i, (r, n, t, b) in enumerate(zip(sums, sizes, wanted, lengths, strict=True))], "source_no int, source string, source_size long, target double, length int, buckets int")
     rows = rows.join(F.broadcast(known), rows.source.eqNullSafe(known.source)).drop(known.source)  # SOURCES rows at most
-    rows = rows.withColumn("bucket", F.pmod("hash", F.greatest("buckets", F.lit(16))).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod("hash", "buckets").cast("int"))
     order = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "hash")
     rows = rows.withColumns({"nr": F.row_number().over(order), "inner": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     rows = space.save(rows, "rows")
     base = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("sum")).withColumn("base", F.sum("sum").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("sum")).drop("sum")
     placed = rows.where("size > 0").join(base, ["source_no", "bucket"]).withColumn("at", F.col("base") + F.col("inner"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    parts = placed.select("source_no", "bucket", "nr", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    length = F.col("length")
+    first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length)
+    parts = placed.select("source_no", "bucket", "nr", "at", "size", "length", F.explode(F.sequence(first, last)).alias("block"))
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * length) - F.greatest(F.col("at"), F.col("block") * length)
     parts = parts.select("source_no", "bucket", "nr", "block", words.alias("words"))
-    runs, start = [], [0] * len(sums)
-    for counts in draws(quotas, shards):
-        runs += [(i, blocks[i], start[i], n) for i, n in enumerate(counts) if n]
-        start = [a + n for a, n in zip(start, counts, strict=True)]
-    runs_df = spark.createDataFrame(runs, "source_no int, blocks long, first long, count long")
+    counts = draws(quotas, shards)
+    drawn = pa.table({"source_no": pa.array(range(len(sums)), pa.int32()), "blocks": pa.array(blocks, pa.int64()), "counts": pa.array(list(counts.T.astype("i8")), pa.list_(pa.int64())), "before": pa.array(list((np.cumsum(counts, axis=0) - counts).T.astype("i8")), pa.list_(pa.int64()))})
+    shard = F.inline(F.arrays_zip("counts", "before"))
+    runs = spark.createDataFrame(drawn).select("source_no", "blocks", shard).where("counts > 0")
+    runs_df = runs.select("source_no", "blocks", F.col("before").alias("first"), F.col("counts").alias("count"))
     pieces = runs_df.select("source_no", "blocks", "first", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(SLOTS).cast("long"))).alias("skip"))
     pieces = pieces.select("source_no", "blocks", (F.col("first") + F.col("skip")).alias("first"), F.least(F.col("count") - F.col("skip"), F.lit(SLOTS)).cast("long").alias("count"))
     used = pieces.repartition("source_no", "first").mapInArrow(_slots, "source_no int, block long, used long").groupBy("source_no", "block").agg(F.sum("used").alias("used"))
@@ -141,4 +145,5 @@ def mix(spark: SparkSession, docs: DataFrame, name: str = "mix", block: int = BL
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of documents: doc_id, size, source_size, target, taken for each row."""
     return mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "op10")
