@@ -110,33 +110,19 @@ def forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 
 def linker(radius: int):
-    """For rows (key, fp, id) sorted by key: edges (0, a, b, null), and the rows of too large buckets as (1, key, fp, id)."""
-
-    def out(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, "i1")), *(pa.array(v.astype("i8", copy=False)) for v in (x, y, z))], ["kind", "x", "y", "z"])
+    """For rows (key, fp, id) sorted by key, of buckets of `BUCKET` rows at most: edges (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, "i8")] * 3
-        spilling = False  # the bucket at hand is over BUCKET and its rows go on to the next level
 
         def groups(rows: list[np.ndarray], last: bool):
-            nonlocal held, spilling
+            nonlocal held
             key = rows[0]
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, "i8")
             ends = np.append(starts[1:], len(key))
-            if spilling and len(key):
-                if key[0] == groups.key:
-                    yield out(1, *(v[: ends[0]] for v in rows))
-                    starts, ends = starts[1:], ends[1:]
-                if len(starts):
-                    spilling = False
             held = [v[:0] for v in rows]
             if not last and len(starts):
-                if ends[-1] - starts[-1] > BUCKET:
-                    spilling, groups.key = True, key[starts[-1]]
-                    yield out(1, *(v[starts[-1] :] for v in rows))
-                else:
-                    held = [v[starts[-1] :] for v in rows]
+                held = [v[starts[-1] :] for v in rows]
                 starts, ends = starts[:-1], ends[:-1]
             sizes = ends - starts
             pair = starts[sizes == 2]
@@ -144,43 +130,43 @@ def linker(radius: int):
             close = pair[np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= radius]
             edges = [(rows[2][close], rows[2][close + 1])]
             for a, b in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
-                if b - a > BUCKET:
-                    yield out(1, *(v[a:b] for v in rows))
-                else:
-                    edges.append(forest(fps[a:b], rows[2][a:b], radius))
+                edges.append(forest(fps[a:b], rows[2][a:b], radius))
             a, b = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
-            if len(a):
-                pairs = np.unique(np.stack((a, b), axis=1), axis=0)
-                yield out(0, pairs[:, 0], pairs[:, 1], pairs[:, 1])
+            pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype("i8")) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            yield from groups([np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)], False)
-        yield from groups(held, True)
+            yield groups([np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)], False)
+        yield groups(held, True)
 
     return run
 
 
 def links(space: Workspace, reps: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) among reps(fp, rep): a spanning forest of the links."""
+    """Edges (a, b) among reps(fp, rep): a spanning forest of the links. Buckets are counted, combined before the
+    shuffle, before any is dealt to a task; those over `BUCKET` rows go to the next family unseen."""
     found = None
     rows = reps.select(F.lit(0).cast("long").alias("within"), "fp", "rep")
     level = 0
     while rows is not None:
         of = F.transform(F.array(*[F.lit(signed(m)) for m in masks(radius, level)]), lambda m, i: F.xxhash64(F.col("within"), i, F.col("fp").bitwiseAND(m)))
-        dealt = rows.select(F.explode(of).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
-        made = space.save(dealt.mapInArrow(linker(radius), "kind byte, x long, y long, z long"), "links")
-        edges = made.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        dealt = rows.select(F.explode(of).alias("key"), "fp", "rep")
+        large = space.save(dealt.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("within")), "large")
+        some = not large.isEmpty()
+        small = dealt.join(large, dealt.key == large.within, "left_anti") if some else dealt
+        edges = space.save(small.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "a long, b long"), "links")
         found = edges if found is None else found.union(edges)
-        over = made.where("kind = 1").select(F.col("x").alias("within"), F.col("y").alias("fp"), F.col("z").alias("rep"))
-        rows, level = (None if over.isEmpty() else over.distinct()), level + 1
+        rows = space.save(dealt.join(large, dealt.key == large.within).select("within", "fp", "rep").distinct(), "over") if some else None
+        level += 1
     return found.distinct()
 
 
 def classes(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 3, name: str = "simhash") -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fp long, component_id (smallest doc_id reachable by links).
 
-    Null and empty texts have fingerprint 0. Repeated rows stay. Rows whose doc_id is null get the component of
-    their fingerprint, or null where no row with a doc_id shares it. Other columns of docs don't matter.
+    Null and empty texts have fingerprint 0. Repeated rows stay. Different texts with one doc_id that is the smallest
+    of their fingerprints are joined through it, as ids are what links join. Rows whose doc_id is null get the
+    component of their fingerprint, or null where no row with a doc_id shares it. Other columns of docs don't matter.
     """
     tune(spark)
     space = Workspace(spark, name)
@@ -315,5 +301,6 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classes() of documents by 3-word shingles and 3 bits: doc_id, fingerprint (hex), component_id for each row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(spark, docs, 3, 3, "op6").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
