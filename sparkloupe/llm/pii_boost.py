@@ -2,9 +2,12 @@
 
 Base kinds are found by their patterns and checks, and stay. High-recall generators propose further spans, which may
 overlap; boosted trees score each by features of its format and its context, and calibrated thresholds select. The
-trees are fitted on `SAMPLE` invented sentences with known spans, whose features the same expressions compute; the
-fit runs on the driver and has that fixed size. The main path is one projection: trees become nested CASE expressions
-over a span's features, and nothing is shuffled or leaves the JVM.
+trees are fitted on places of at most `SAMPLE` base matches and `SAMPLE` other candidates of the documents, drawn by a
+hash: base matches written in other ways in their own context are personal, card numbers with a wrong check digit and
+numbers that no base kind holds aren't; identity and account numbers, which no base kind has, are invented and put
+into contexts of the documents. A third fits the trees, a third calibrates their probabilities and thresholds, and a
+third gives the figures. The same expressions compute all features; the fit has that fixed size. The main path is one
+projection: trees become nested CASE expressions over a span's features, and nothing is shuffled or leaves the JVM.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import random
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spans import SPANS, guarded, joined, let
@@ -35,8 +38,8 @@ GENERATORS = (
     ("number_like", r"[0-9](?:[ ./-]?[0-9]){8}", r"(?<![0-9])[0-9](?:[ ()./-]{0,2}[0-9]){8,24}(?![0-9])"),
 )
 KINDS = (*BASE, *dict.fromkeys(g[0] for g in GENERATORS))
-FEATURES = ("generator", "digits", "length", "separators", "groups", "longest", "plus", "luhn", "contact", "identity", "joined_before", "joined_after", "sign", "letters", "date")
-SAMPLE, TREES, DEPTH, RATE = 3000, 30, 3, 0.3
+FEATURES = ("generator", "digits", "length", "separators", "groups", "longest", "plus", "luhn", "contact", "identity", "joined_before", "joined_after", "sign", "letters", "date", "zero")
+SAMPLE, TREES, DEPTH, RATE = 1500, 30, 3, 0.3
 CONTEXT = 24
 PRECISION = 0.97
 SEED = 11
@@ -80,6 +83,7 @@ def candidates(text: Column) -> Column:
             "joined_after": after.rlike(r"^(?:[A-Za-z0-9_/=]|\.[0-9]|,[0-9])").cast("int"),
             "sign": (F.contains(s["match"], F.lit("@")) | s["match"].rlike(r"(?i)[(\[]at[)\]]")).cast("int"),
             "letters": F.regexp_count(s["match"], F.lit("[A-Za-z]")),
+            "zero": s["match"].rlike(r"^[+(]*0").cast("int"),
             "date": s["match"].rlike(r"^(?:19|20)[0-9]{2}[-/.][01][0-9][-/.][0-3][0-9]|^[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)[0-9]{2}").cast("int"),
         }
         return F.struct(*(s[c] for c in ("start", "rank", "kind", "stop", "match", "generator")), *(number(values[f]).alias(f) for f in FEATURES[1:]))
@@ -87,32 +91,70 @@ def candidates(text: Column) -> Column:
     return F.transform(F.concat(*indexed), features).cast(f"array<{_CANDIDATE}>")
 
 
-def invented(n: int = SAMPLE, seed: int = SEED) -> list[tuple[int, str, int, int, int]]:
-    """(id, text, start, stop, personal) of invented sentences with one span each, which is personal data or not."""
+def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, int, str, str, str]]:
+    """(kind, base, before, match, after) of at most `most` base matches and as many other candidates of docs(doc_id,
+    text), drawn by a hash of doc_id and place."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // (8 * most)))) == 0
+    clear = lambda a, s: (a["start"] < s["stop"]) & (s["start"] < a["stop"])
+    bare = lambda x, base: F.transform(x, lambda s: F.struct(s["kind"].alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["stop"].alias("stop")))
+    both = lambda b: F.concat(bare(b, 1), bare(F.filter(candidates(F.col("text")), lambda c: ~F.exists(b, lambda a: clear(a, c))), 0))
+    rows = docs.where(part & F.col("text").isNotNull()).select("doc_id", "text", F.explode(let(base_spans(F.col("text")), both)).alias("s"))
+    begin = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
+    cut = lambda at, stop: F.substring("text", at + 1, stop - at)
+    rows = rows.select("s.kind", "s.base", cut(begin, F.col("s.start")).alias("before"), cut(F.col("s.start"), F.col("s.stop")).alias("match"), cut(F.col("s.stop"), F.col("s.stop") + CONTEXT).alias("after"), F.xxhash64("doc_id", "s.start", "s.kind").alias("place"))
+    order = Window.partitionBy("base").orderBy("place", "match", "before")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).orderBy("base", "n")
+    return [(r["kind"], r["base"], r["before"], r["match"], r["after"]) for r in rows.collect()]
+
+
+def invented(found: list[tuple[str, int, str, str, str]], n: int = 2 * SAMPLE, seed: int = SEED) -> list[tuple[int, str, int, int, int]]:
+    """(id, text, start, stop, personal), one span each: the sample's, written in other ways, and n invented ones in
+    contexts of the sample, or of syllables where it is empty."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice(("ka", "to", "mi", "re", "sun", "dol", "ar", "pe")) for _ in range(rng.randint(1, 3)))
-
-    def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"0{digits(1)} " + " ".join(digits(2) for _ in range(4))))
-
-    def card() -> str:
-        return rng.choice((digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4))))
-
-    def address() -> str:
-        at, dot = rng.choice((("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", ".")))
-        return f"{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net'))}"
-
-    def account() -> str:
-        return rng.choice("ABCDEFGH") + rng.choice("ESRLT") + digits(2) + rng.choice(("", " ")).join(["", *(digits(4) for _ in range(4))])
-
-    def identity() -> str:
-        return f"{digits(3)}-{digits(2)}-{digits(4)}"
-
-    def other() -> str:
+    contexts = [(before, after) for _, _, before, _, after in found if not before or before[-1] in " \n\t:"]
+    out: list[tuple[int, str, int, int, int]] = []
+
+    def add(before: str, span: str, after: str, personal: int) -> None:
+        out.append((len(out), before + span + after, len(before), len(before) + len(span), personal))
+
+    def phone(number: str) -> str:
+        a, b, c = number[:3], number[3:6], number[6:10]
+        return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a[0]} " + " ".join(number[i : i + 2] for i in range(1, 9, 2))))
+
+    def address(name: str, host: str) -> str:
+        at, dot = rng.choice(((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", "."), ("(at)", "(dot)"), (" @ ", " dot ")))
+        return name + at + host.replace(".", dot)
+
+    def wrong_card(number: str) -> str:
+        n = number[:-1] + str((int(number[-1]) + rng.randint(1, 9)) % 10)
+        return rng.choice((n, " ".join(n[i : i + 4] for i in range(0, 16, 4)), "-".join(n[i : i + 4] for i in range(0, 16, 4))))
+
+    for kind, base, before, match, after in found:
+        number = "".join(c for c in match if c in "0123456789")
+        if not base:
+            if kind in ("number_like", "card_like"):  # the other kinds may be personal, so they teach nothing
+                add(before, match, after, 0)
+        elif kind == "email":
+            add(before, address(*match.rsplit("@", 1)), after, 1)
+        elif kind == "phone" and len(number) >= 10:
+            add(before, phone(number[-10:]), after, 1)
+        elif kind == "card" and len(number) == 16:
+            add(before, wrong_card(number), after, 0)
+    for _ in range(n):
+        before, after = rng.choice(contexts) if contexts else (" ".join(word() for _ in range(4)) + " ", f" {word()} {word()}")
         year = rng.randint(1950, 2030)
-        return rng.choice(
+        if rng.random() < 0.5:
+            if rng.random() < 0.25:
+                before += rng.choice(("tel ", "phone: ", "call ", "contact ", "iban ", "ssn ", "account "))
+            account = rng.choice("ABCDEFGH") + rng.choice("ESRLT") + digits(2) + rng.choice(("", " ")).join(["", *(digits(4) for _ in range(4))])
+            span = rng.choice((lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: account, lambda: phone(str(rng.randint(2, 9)) + digits(9)), lambda: address(word(), f"{word()}.{rng.choice(('com', 'org', 'net'))}")))()
+            add(before, span, after, 1)
+            continue
+        if rng.random() < 0.25:
+            before += rng.choice(("order ", "part ", "total ", "page ", "code ", "version ", "no. "))
+        span = rng.choice(
             (
                 f"{year}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d} {rng.randint(10, 23)}.{rng.randint(10, 59)}",
                 " ".join(str(rng.randint(0, 99)) for _ in range(rng.randint(7, 12))),
@@ -122,49 +164,46 @@ def invented(n: int = SAMPLE, seed: int = SEED) -> list[tuple[int, str, int, int
                 f"{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}",
                 f"{word()} at {word()} dot {word()}",
                 f"{year}-{year + 3} {year + 4}-{year + 9}",
+                wrong_card("4" + digits(15)),
+                phone(str(rng.randint(2, 9)) + digits(9)) + rng.choice(("/", "_", "x", ".")) + digits(3),
             )
         )
-
-    out = []
-    for i in range(n):
-        personal = rng.random() < 0.5
-        span = rng.choice((phone, phone, card, address, account, identity))() if personal else other()
-        lead = " ".join(word() for _ in range(rng.randint(2, 8)))
-        if rng.random() < 0.25:
-            lead += " " + (rng.choice(("tel", "phone", "call", "contact", "card", "iban", "ssn")) if personal else rng.choice(("order", "part", "total", "page", "code", "version")))
-        glue = rng.choice((" ", " ", " ", ": ")) if personal else rng.choice((" ", " ", "#", "/", "=", "x", "-"))
-        tail = rng.choice((" ", ". ", ", ")) if personal else rng.choice((" ", "/", "x", "_", " "))
-        text = f"{lead}{glue}{span}{tail}{word()} {word()}"
-        out.append((i, text, len(lead) + len(glue), len(lead) + len(glue) + len(span), int(personal)))
-    return out
+        add(before + rng.choice(("", "", "", "#", "=", "/")), span, rng.choice(("", "", "", "/", "_")) + after, 0)
+    rng.shuffle(out)
+    return [(i, *row[1:]) for i, row in enumerate(out)]
 
 
 class Trees:
-    """Gradient boosting for the logistic loss, with calibrated probabilities and a threshold for each kind."""
+    """Gradient boosting for the logistic loss, with calibrated probabilities and a threshold for each kind. Rows leave
+    0, 1 or 2 by `part`: they fit, calibrate or measure. figures[kind] is (precision, recall, personal rows)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> None:
-        half = np.arange(len(y)) % 2 == 0
+    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, part: np.ndarray) -> None:
+        fits, tunes, tests = (part % 3 == k for k in range(3))
         self.trees: list = []
-        margin = np.zeros(half.sum())
+        margin = np.zeros(fits.sum())
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(x[half], y[half] - p, p * (1 - p), DEPTH)
+            tree = self._grow(x[fits], y[fits] - p, p * (1 - p), DEPTH)
             self.trees.append(tree)
-            margin += self._value(tree, x[half])
-        held = sum(self._value(t, x[~half]) for t in self.trees)
-        a, b, target = 1.0, 0.0, y[~half]
+            margin += self._value(tree, x[fits])
+        held = sum(self._value(t, x[tunes]) for t in self.trees)
+        a, b, target = 1.0, 0.0, y[tunes]
         for _ in range(200):  # Platt's scaling
             g = 1 / (1 + np.exp(-(a * held + b))) - target
             a, b = a - 0.5 * float((g * held).mean()) / (1 + float((held**2).mean())), b - 0.5 * float(g.mean())
         self.scale = (a, b)
         chance = 1 / (1 + np.exp(-(a * held + b)))
-        self.thresholds = {}
+        final = 1 / (1 + np.exp(-(a * sum(self._value(t, x[tests]) for t in self.trees) + b)))
+        self.thresholds, self.figures = {}, {}
         for kind in range(len(BASE), len(KINDS)):
-            mine = kinds[~half] == kind
+            mine = kinds[tunes] == kind
             order = np.argsort(-chance[mine], kind="stable")
             hits = np.cumsum(target[mine][order]) / (np.arange(len(order)) + 1)
             good = np.flatnonzero(hits >= PRECISION)
             self.thresholds[kind] = max(0.5, float(chance[mine][order][good[-1]])) if len(good) else 2.0
+            of = kinds[tests] == kind
+            said, true = final[of] >= self.thresholds[kind], y[tests][of] == 1
+            self.figures[KINDS[kind]] = (float((said & true).sum() / max(1, said.sum())), float((said & true).sum() / max(1, true.sum())), int(true.sum()))
 
     def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         leaf = RATE * float(g.sum() / (h.sum() + 1))
@@ -207,12 +246,14 @@ class Trees:
         return out
 
 
-def fit(spark: SparkSession) -> Trees:
-    rows = spark.createDataFrame(invented(), "id int, text string, begin int, finish int, personal int")
+def fit(spark: SparkSession, docs: DataFrame | None = None) -> Trees:
+    """Trees for docs(doc_id, text), or for invented sentences only where none are given."""
+    found = [] if docs is None else sample(docs)
+    rows = spark.createDataFrame(invented(found), "id int, text string, begin int, finish int, personal int")
     span = rows.select("id", "begin", "finish", "personal", F.explode(candidates(F.col("text"))).alias("c"))
     right = (F.abs(F.col("c.start") - F.col("begin")) <= 1) & (F.abs(F.col("c.stop") - F.col("finish")) <= 1) & (F.col("personal") == 1)
-    table = np.array(span.orderBy("id", "c.start", "c.generator").select(right.cast("double"), F.col("c.rank").cast("double"), *(F.col(f"c.{f}") for f in FEATURES)).collect(), dtype=float)
-    return Trees(table[:, 2:], table[:, 0], table[:, 1].astype(int))
+    table = np.array(span.orderBy("id", "c.start", "c.generator").select(right.cast("double"), F.col("c.rank").cast("double"), F.col("id").cast("double"), *(F.col(f"c.{f}") for f in FEATURES)).collect(), dtype=float)
+    return Trees(table[:, 3:], table[:, 0], table[:, 1].astype(int), table[:, 2].astype(int))
 
 
 def find(text: Column, trees: Trees) -> Column:
@@ -232,11 +273,14 @@ def find(text: Column, trees: Trees) -> Column:
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a column `pii`: struct(base, spans). Null texts are empty; repeated rows stay."""
-    return docs.withColumn("pii", find(F.coalesce(F.col("text"), F.lit("")), fit(spark)))
+    """docs(doc_id, text, ...) with a column `pii`: struct(base, spans). Null texts are empty, and empty ones have no span;
+    repeated rows stay, with equal spans; whole texts count, however long. Of added spans that overlap, the more probable
+    stays, the earlier on ties; base spans stay in any case. An empty table has no row."""
+    return docs.withColumn("pii", find(F.coalesce(F.col("text"), F.lit("")), fit(spark, docs)))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of documents; null texts are empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = scan(spark, docs).select("doc_id", "pii")
     base = F.col("pii.base")
