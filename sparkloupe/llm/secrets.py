@@ -36,6 +36,8 @@ ADDED = (
     ("dsn", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{1,200}@", 0, 0),
 )
 MARK = "[SECRET]"
+#: The setting that names the path of a lasting ledger.
+LEDGER = "spark.sparkloupe.secrets.ledger"
 RULES = hashlib.sha256(repr((BASE, ADDED)).encode()).hexdigest()[:16]
 FOUND = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
@@ -62,7 +64,8 @@ class Ledger:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rules={rules}")
         there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
         schema = f"blob string, findings {FOUND}"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/rules={rules}") if there else self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).parquet(f"{self.path}/rules={rules}") if there else self.spark.createDataFrame([], schema)
+        return found.dropDuplicates(["blob"]) if there else found  # a retried or overlapping scan appends a blob twice, with equal findings
 
     def unseen(self, versions: DataFrame, rules: str = RULES) -> DataFrame:
         """(blob, text), one row for each blob of versions(blob, text) that these rules haven't scanned."""
@@ -91,7 +94,7 @@ def scan(spark: SparkSession, docs: DataFrame, ledger: Ledger) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, name: str = "secrets") -> DataFrame:
     """docs with every secret in `text` replaced by MARK, and n_chars, if there, counted anew. Null texts stay null."""
-    ledger = Ledger(spark, Workspace(spark, name).path("ledger"))
+    ledger = ledger_of(spark, name)
     rows = addressed(docs)
     known = ledger.scan(rows.select("blob", "text")).where(F.size("findings") > 0)
     text = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.col("findings").isNull(), F.col("row.text")).otherwise(redact(F.col("row.text"), F.col("findings"), MARK))
@@ -100,9 +103,17 @@ def redacted(spark: SparkSession, docs: DataFrame, name: str = "secrets") -> Dat
     return out.select(*(F.col("clean").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
+def ledger_of(spark: SparkSession, name: str) -> Ledger:
+    """The ledger at the path that LEDGER names in the session, which outlives it, so that a later run scans only new
+    blobs; a new one in the shared folder where it names none."""
+    return Ledger(spark, spark.conf.get(LEDGER, None) or Workspace(spark, name).path("ledger"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of documents. Null texts are empty, repeated
+    rows stay, and a text without a secret has no span."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ledger = Ledger(spark, Workspace(spark, "op8").path("ledger"))
+    ledger = ledger_of(spark, "op8")
     rows = scan(spark, docs, ledger)
     base = F.filter("findings", lambda s: s["rank"] < len(BASE))
     counts = [F.size(F.filter("findings", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]  # noqa: B023
