@@ -3,8 +3,8 @@
 Each language's dictionary is raw text of that language; a text is encoded with zstandard once per dictionary, and
 the smallest encoding names the language. The margin is the relative distance to the second smallest.
 
-Scale: the dictionaries are the only state, `DICTIONARY` bytes for each of at most `LANGUAGES` languages, fitted on
-at most `SAMPLE` pieces of labelled texts of each. Prediction is one pass without a shuffle.
+Scale: the dictionaries are the only state, `DICTIONARY` bytes for each of at most `LANGUAGES` languages, built in the
+executors from at most `SAMPLE` pieces of labelled texts of each. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -61,11 +61,14 @@ def fit(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     few = hashed.select("lang", "doc_id", F.explode(cut).alias("p")).select("lang", "doc_id", "p.place", "p.text")
     order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     drawn = few.select("lang", "text", F.row_number().over(order).alias("at")).where(F.col("at") <= SAMPLE)
-    texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for row in drawn.orderBy("lang", "at").toLocalIterator():
-        texts[row["lang"]].append(letters(row["text"]))
-    out = {lang: b"\n".join(t)[:DICTIONARY] for lang, t in texts.items()}
-    return {lang: data for lang, data in out.items() if len(data) >= 8}
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        data = b"\n".join(letters(t) for t in rows.sort_values("at")["text"])[:DICTIONARY]
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "data": [data]})
+
+    built = drawn.groupBy("lang").applyInPandas(build, "lang string, data binary")  # SAMPLE pieces a group at most
+    out = {r["lang"]: bytes(r["data"]) for r in built.collect()}
+    return {lang: out[lang] for lang in counts if len(out.get(lang, b"")) >= 8}
 
 
 def predictor(spark: SparkSession, dictionaries: dict[str, bytes], margin: float = MARGIN):
