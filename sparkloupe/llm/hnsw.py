@@ -160,13 +160,14 @@ class Graph:
 
 
 def search_block(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """The nodes linked to each query; the beam is widened until the audit of the block passes."""
+    """The nodes linked to each query; the beam is widened until the audit of the block passes, over all links of the
+    sample and in the mean of its queries, so that large groups don't hide what small ones lose."""
     n, beam = len(graph.ids), BEAM
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = (queries[sample] @ graph.vectors.T >= threshold).sum(axis=1)
+    truth = np.maximum((queries[sample] @ graph.vectors.T >= threshold).sum(axis=1), 1)
     while beam < n:
-        audit = sum(min(len(graph.near(queries[i], beam, threshold)), int(t)) for i, t in zip(sample.tolist(), truth, strict=True))
-        if audit >= RECALL * truth.sum():
+        found = np.array([min(max(len(graph.near(queries[i], beam, threshold)), 1), int(t)) for i, t in zip(sample.tolist(), truth, strict=True)])
+        if found.sum() >= RECALL * truth.sum() and (found / truth).mean() >= RECALL:
             return [graph.near(q, beam, threshold) for q in queries]
         beam *= 2
     out = []
@@ -256,6 +257,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of embeddings: vec_id, n_links, component_id, kept for each row."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), THRESHOLD, "op1")
 
 

@@ -332,6 +332,8 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str) -> None:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a WARC archive and read back: page_id, payload_bytes, payload_digest, record_type, refers_to for each
+    record. A null html is empty; repeated rows are a record each."""
     path = Workspace(spark, "op3").path("archive")
     write_archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     read = spark.read.format("warc").load(path)
