@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import EVENTS
 from ..functions import text as T
 from .search import enclosing
 
@@ -82,11 +83,19 @@ def function_summary(spans: DataFrame) -> DataFrame:
     return spans.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", line.alias("t")))), lambda x: x["t"]), "\n").alias("summary"))
 
 
-def structure_summary(imports: DataFrame, calls: DataFrame, spans: DataFrame, most: int = 20) -> DataFrame:
-    """Counts and the first names of imports, calls and functions of each file."""
+def structure_summary(imports: DataFrame, calls: DataFrame, spans: DataFrame, variables: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """Counts and the first names of imports, calls and functions of each file, the first 30 signatures in order,
+    and, where global_context() is given, the first variables of it."""
     first = lambda rows, column, name: rows.groupBy("file_id").agg(F.countDistinct(column).alias(f"n_{name}"), F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, most), ", ").alias(name))
     out = first(spans, "func_name", "functions").join(first(calls, "name", "calls"), "file_id", "full_outer").join(first(imports, "target", "imports"), "file_id", "full_outer")
-    return out.select("file_id", *[F.coalesce(f"n_{n}", F.lit(0)).alias(f"n_{n}") for n in ("functions", "calls", "imports")], *[F.coalesce(n, F.lit("")).alias(n) for n in ("functions", "calls", "imports")])
+    lines = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line_start", "signature"))), 1, 30), lambda x: x["signature"])
+    out = out.join(spans.groupBy("file_id").agg(F.array_join(lines, "\n").alias("signatures")), "file_id", "left")
+    extra = ["signatures"]
+    if variables is not None:
+        named = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line_no", "text"))), 1, most), lambda x: x["text"])
+        out = out.join(variables.where("kind = 'global'").groupBy("file_id").agg(F.array_join(named, ", ").alias("globals")), "file_id", "left")
+        extra.append("globals")
+    return out.select("file_id", *[F.coalesce(f"n_{n}", F.lit(0)).alias(f"n_{n}") for n in ("functions", "calls", "imports")], *[F.coalesce(n, F.lit("")).alias(n) for n in ("functions", "calls", "imports", *extra)])
 
 
 def around_errors(errors: DataFrame, spans: DataFrame, reach: int = 20) -> DataFrame:
@@ -222,6 +231,17 @@ def related_variables(blocks: DataFrame, functions: DataFrame, most: int = 20) -
     return used.groupBy("file_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, most), ",").alias("variables"))
 
 
+def related_cursors(events: DataFrame, bodies: DataFrame, functions: DataFrame, most: int = 4000) -> DataFrame:
+    """(file_id, cursor, events, missing, body) of the cursors with an event in functions(file_id, func_name): all
+    their events in order, those they lack, and their SELECT cut at `most` characters."""
+    own = events.join(functions.select("file_id", "func_name").distinct(), ["file_id", "func_name"], "left_semi").select("file_id", "cursor").distinct()
+    event = F.concat("event_type", F.lit("(L"), F.col("line").cast("string"), F.lit(", "), F.coalesce("func_name", F.lit("?")), F.lit(")"))
+    rows = events.join(own, ["file_id", "cursor"], "left_semi").groupBy("file_id", "cursor").agg(F.array_sort(F.collect_list(F.struct("line", event.alias("t"), "event_type"))).alias("e"))
+    missing = F.array_except(F.array(*[F.lit(e) for e in EVENTS]), F.transform("e", lambda x: x["event_type"]))
+    one = bodies.groupBy("file_id", "cursor").agg(F.min(F.left("body", F.lit(most))).alias("body"))
+    return rows.join(one, ["file_id", "cursor"], "left").select("file_id", "cursor", F.array_join(F.transform("e", lambda x: x["t"]), " → ").alias("events"), F.array_join(missing, ",").alias("missing"), "body")
+
+
 def routes(lint: DataFrame, files: DataFrame) -> DataFrame:
     """Files with a syntax error or a pattern hit, lint(file_id), are reviewed by error; others as a whole."""
     hit = lint.select("file_id").distinct().withColumn("_hit", F.lit(True))

@@ -89,6 +89,59 @@ def inline_scripts(files: DataFrame) -> DataFrame:
     return rows.select("file_id", (F.col("pos") + 1).cast("long").alias("script_no"), (F.regexp_count(before, F.lit("\n")) + 1).cast("long").alias("line_no"), "body")
 
 
+#: What tells script from other text.
+SCRIPT = re.compile(r"(?:function\b|var\b|let\b|const\b|scwin\.|return\b|if\s*\(|\{)")
+
+
+def cdata_blocks(text: str) -> list[dict]:
+    """Script in CDATA sections of <script> elements without a src, if it holds a word of script: the line it starts on,
+    its first line in all script joined, its lines and its text. Goes line by line; text before and after the section
+    on its own lines counts if it isn't blank."""
+    out, cursor, inside, start, held = [], 1, False, None, []
+
+    def add(line: int, body: list[str]) -> None:
+        nonlocal cursor
+        whole = "\n".join(body)
+        if whole.strip() and SCRIPT.search(whole):
+            out.append({"xml_start": line, "js_start": cursor, "length": len(body), "body": whole})
+            cursor += len(body)
+
+    for number, line in enumerate(text.split("\n"), 1):
+        lower = line.lower()
+        if "<script" in lower and "src=" not in lower:
+            inside, start, held = True, None, []
+        if inside and "<![CDATA[" in line:
+            after = line.split("<![CDATA[", 1)[1]
+            start = number
+            if "]]>" in after:
+                add(number, [after.split("]]>", 1)[0]])
+                start = None
+            elif after.strip():
+                held.append(after)
+        elif inside and start is not None:
+            if "]]>" in line:
+                before = line.split("]]>", 1)[0]
+                add(start + 1, [*held, *([before] if before.strip() else [])])
+                start, held = None, []
+            else:
+                held.append(line)
+        if "</script>" in lower:
+            inside = False
+    return out
+
+
+def _cdata(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: cdata_blocks(t or ""))
+
+
+def cdata_scripts(files: DataFrame) -> DataFrame:
+    """(file_id, script_no, xml_start, js_start, length, body) of screens' scripts; `first`, `last` and `offset` of
+    rebase() are js_start, js_start + length - 1 and xml_start - js_start."""
+    schema = "array<struct<xml_start:long,js_start:long,length:long,body:string>>"
+    rows = files.select("file_id", F.posexplode(F.pandas_udf(_cdata, schema)("content")).alias("pos", "s"))
+    return rows.select("file_id", (F.col("pos") + 1).cast("long").alias("script_no"), "s.*")
+
+
 def rebase(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """lines(file_id, line_no) of concatenated scripts to lines of their file, by blocks(file_id, first, last,
     offset); lines outside every block pass through."""

@@ -14,7 +14,7 @@ from ..sources.files import include_closure
 from ._base import PROC_DUCK, proc_lines, query, table
 from .issues import _DUCK as _ISSUE
 from .issues import _issues
-from .source import _BLOCK, _CALL, _FILES, _RULES, _SPAN, _files, _parsed
+from .source import _BLOCK, _CALL, _EVENT, _FILES, _RULES, _SPAN, _files, _parsed
 
 
 def _spans(spark, sf_dir):
@@ -58,15 +58,15 @@ def x10_cursor_bodies(spark, sf_dir):
     return C.cursor_bodies(blocks, S.source_lines(files))
 
 
-_TOP = "top as (select file_id, line_no, raw from source_line union all select distinct file_id, -2, '#include <stdio.h>' from source_line union all select distinct file_id, -1, '#define N 3' from source_line union all select distinct file_id, 0, 'static int total = 0;' from source_line)"
+def _with_heads(lines):
+    """Lines with an include, a macro and a variable before the first."""
+    heads = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t")) for n, t in ((-2, "#include <stdio.h>"), (-1, "#define N 3"), (0, "static int total = 0;"))])
+    return lines.union(lines.select("file_id").distinct().select("file_id", F.explode(heads).alias("h")).select("file_id", F.col("h.n").alias("line_no"), F.col("h.t").alias("raw")))
 
 
 @query(f"with {PROC_DUCK} select distinct file_id, l.line_no, l.kind, l.text from source_line, (values (-2::bigint, 'include', '#include <stdio.h>'), (-1, 'macro', '#define N 3'), (0, 'global', 'static int total = 0;')) l(line_no, kind, text)")
 def x12_global_context(spark, sf_dir):
-    lines = proc_lines(spark, sf_dir)
-    heads = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t")) for n, t in ((-2, "#include <stdio.h>"), (-1, "#define N 3"), (0, "static int total = 0;"))])
-    top = lines.select("file_id").distinct().select("file_id", F.explode(heads).alias("h")).select("file_id", F.col("h.n").alias("line_no"), F.col("h.t").alias("raw"))
-    return C.global_context(lines.union(top), _spans(spark, sf_dir))
+    return C.global_context(_with_heads(proc_lines(spark, sf_dir)), _spans(spark, sf_dir))
 
 
 @query(f"with {PROC_DUCK} select file_id, line_no, regexp_extract(raw, 'EXEC SQL ([^;]*);', 1) as sql_text from source_line where raw like '%EXEC SQL %' and not regexp_matches(raw, 'EXEC SQL (WHENEVER|DECLARE)')")
@@ -86,10 +86,10 @@ def x24_function_summary(spark, sf_dir):
     return C.function_summary(_spans(spark, sf_dir))
 
 
-@query(f"with {PROC_DUCK}, {_SPAN}, {_CALL}, c as (select distinct file_id, name from distinct_call), d as (select file_id, count(*) as n, list_sort(list(name)) as l from c group by file_id), f as (select file_id, count(*) as n, list_sort(list(func_name)) as l from span group by file_id) select file_id, f.n as n_functions, d.n as n_calls, 0::bigint as n_imports, array_to_string(f.l[1:20], ', ') as functions, array_to_string(d.l[1:20], ', ') as calls, '' as imports from f join d using (file_id)")
+@query(f"with {PROC_DUCK}, {_SPAN}, {_CALL}, c as (select distinct file_id, name from distinct_call), d as (select file_id, count(*) as n, list_sort(list(name)) as l from c group by file_id), f as (select file_id, count(*) as n, list_sort(list(func_name)) as l, string_agg('static int ' || func_name || '(int a, char *src)', chr(10) order by line_start) filter (fn < 30) as s from span group by file_id) select file_id, f.n as n_functions, d.n as n_calls, 0::bigint as n_imports, array_to_string(f.l[1:20], ', ') as functions, array_to_string(d.l[1:20], ', ') as calls, '' as imports, f.s as signatures, 'static int total = 0;' as globals from f join d using (file_id)")
 def x23_structure_summary(spark, sf_dir):
-    lines = proc_lines(spark, sf_dir)
-    return C.structure_summary(S.imports(lines), S.calls(lines), _spans(spark, sf_dir))
+    lines, spans = proc_lines(spark, sf_dir), _spans(spark, sf_dir)
+    return C.structure_summary(S.imports(lines), S.calls(lines), spans, C.global_context(_with_heads(lines), spans))
 
 
 @query(f"with {PROC_DUCK}, {_SPAN} select distinct file_id, line_start, line_end from source_line join span using (file_id) where raw like '%gets(y)%' and line_no between line_start and line_end")
@@ -151,6 +151,12 @@ def w16_related_variables(spark, sf_dir):
     _, _, _, blocks = _parsed(spark, sf_dir)
     return C.related_variables(blocks, X.transaction_points(blocks).where("kind = 'COMMIT'"))
 
+@query(f"with {_EVENT}, t as (select distinct file_id, func_name from block where kind = 'COMMIT'), o as (select distinct file_id, cursor from event semi join t using (file_id, func_name)), g as (select file_id, cursor, string_agg(event_type || '(L' || line || ', ' || func_name || ')', ' → ' order by line) as events, list(distinct event_type) as p from event semi join o using (file_id, cursor) group by all), d as (select distinct file_id, regexp_extract(sql_text, '^DECLARE (\\w+)', 1) as cursor from block where kind = 'DECLARE') select file_id, g.cursor, events, array_to_string(list_filter(['DECLARE', 'OPEN', 'FETCH', 'CLOSE'], lambda e: not list_contains(p, e)), ',') as missing, case when d.cursor is not null then 'SELECT a F' end as body from g left join d using (file_id, cursor)")
+def w16_related_cursors(spark, sf_dir):
+    """W16, with bodies cut at ten characters."""
+    _, _, _, blocks = _parsed(spark, sf_dir)
+    return C.related_cursors(X.cursor_events(blocks), C.cursor_bodies(blocks, proc_lines(spark, sf_dir)), X.transaction_points(blocks).where("kind = 'COMMIT'"), 10)
+
 
 @query(f"with {_ISSUE}, s as (select distinct file_id from issue), x as (select distinct file_id from issue where severity = 'critical') select file_id, case when file_id in (select file_id from x) then 'error_focused' else 'whole' end as route from s")
 def w22_routes(spark, sf_dir):
@@ -220,11 +226,11 @@ def k2_type_mismatches(spark, sf_dir):
     return E.type_mismatches(blocks, part.select(F.col("p_partkey").alias("file_id"), F.lit("v1").alias("name"), kind.alias("c_type")))
 
 
-@query("select p_partkey as file_id, p_size::bigint as line, case p_size % 3 when 2 then null else 'PCC-S-0220' || p_size % 3 end as code from part")
+@query("with t as (select p_partkey as file_id, p_size::bigint as size, p_size % 3 as k from part) select file_id, size as line, 3::bigint as \"column\", case k when 2 then null else 'PCC-S-0220' || k end as code, 'Semantic error at line ' || size || ', column 3' as message from t union all select file_id, 12, 0, 'PCC-S-02201', 'bad' from t where k = 1")
 def s11_precompiler(spark, sf_dir):
-    """A code, unless the size leaves 2 by 3, then a position."""
+    """A code, unless the size leaves 2 by 3, then a position; some codes say what is wrong themselves."""
     size = F.col("p_size")
-    code = F.when(size % 3 == 2, "nothing").otherwise(F.concat(F.lit("PCC-S-0220"), (size % 3).cast("string"), F.lit(", bad")))
+    code = F.when(size % 3 == 2, "nothing").when(size % 3 == 1, " PCC-S-02201, f.pc(12): bad ").otherwise("PCC-S-02200, bad")
     at = F.concat(F.lit("Semantic error at line "), size.cast("string"), F.lit(", column 3"))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.posexplode(F.array(code, at)).alias("line_no", "raw"))
     return TO.precompiler(rows)
@@ -267,3 +273,18 @@ def j1_contexts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(key, raw.alias("raw"))
     files = part.select(F.when(key % 2 == 0, F.col("raw")).otherwise(F.concat(F.lit("/r/src/f"), key.cast("string"), F.lit(".c"))).alias("path"))
     return C.with_contexts(files, part.select(F.col("raw").alias("path"), key.alias("seq"), key.alias("note")), "/r")
+
+
+@query("with recursive r as (select p_partkey as k, p_partkey % 64 as i, 0 as level from part union all select k, i // 2, level + 1 from r where i % 5 <> 0 and i > 1 and level < 3) select 'r/s' || k % 3 || '/x/f' || k || '.c' as source, 'h' || i || '.h' as header, case when i % 5 <> 0 then 'real' else 'unresolved' end as kind, case when i % 5 <> 0 then 'r/h' || i || '.h' end as resolved, level from r union all select 'r/s' || p_partkey % 3 || '/x/f' || p_partkey || '.c', 'stdio.h', 'system', null, 0 from part")
+def s13_headers(spark, sf_dir):
+    """Headers two folders above the sources, each of which includes that of half its number; every fifth isn't there."""
+    from ..sources.files import resolve_headers
+
+    key = F.col("p_partkey")
+    source = F.concat(F.lit("r/s"), (key % 3).cast("string"), F.lit("/x/f"), key.cast("string"), F.lit(".c"))
+    name = lambda i: F.concat(F.lit("h"), i.cast("string"), F.lit(".h"))
+    own = table(spark, sf_dir, "part").select(source.alias("path"), F.inline(F.array(F.struct(name(key % 64).alias("header"), F.lit(False).alias("is_system")), F.struct(F.lit("stdio.h").alias("header"), F.lit(True).alias("is_system")))))
+    headers = spark.range(64).where("id % 5 <> 0")
+    of = lambda i: F.concat(F.lit("r/"), name(i))
+    inner = headers.where("id > 1").select(of(F.col("id")).alias("path"), name(F.floor(F.col("id") / 2)).alias("header"), F.lit(False).alias("is_system"))
+    return resolve_headers(own.select("path"), own.union(inner), headers.select(of(F.col("id")).alias("path")).union(own.select("path").distinct()))

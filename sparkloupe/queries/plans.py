@@ -190,3 +190,9 @@ def q18_top_points(spark, sf_dir):
 @query(f"with {_STEPS}, n as (select *, count(*) over (partition by plan_id) as n from step) select * exclude (n) from n where n <= 4 or cost >= 50 or regexp_matches(operation, 'TABLE ACCESS|MERGE JOIN|CARTESIAN')")
 def q18_excerpt(spark, sf_dir):
     return Q.excerpt(_steps(spark, sf_dir), 4)
+
+
+@query("select p_partkey as plan_id, substr(repeat('plan ', p_size * 60), 1, 8000) as content from part")
+def q18_raw_excerpt(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return Q.raw_excerpt(part.select(F.col("p_partkey").alias("plan_id"), F.repeat(F.lit("plan "), F.col("p_size") * 60).alias("content")))

@@ -187,6 +187,26 @@ def p2_strip_js(spark, sf_dir):
     return rows.select("file_id", T.strip_js(F.col("content")).alias("code"))
 
 
+@query("""select c_custkey as file_id, 1::bigint as line_no, case c_custkey % 7 when 0 then 'function_def' when 1 then 'function_def' when 2 then 'import' when 3 then 'import' when 4 then 'class_def' when 5 then 'event_listener' else 'dom_manipulation' end as pattern,
+ case c_custkey % 7 when 0 then 'function go' || c_custkey when 1 then 'let f = (a) =>' when 2 then 'import x from "m"' when 3 then 'require("n")' when 4 then 'class A' when 5 then '.addEventListener("click"' else 'innerHTML =' end as match,
+ case c_custkey % 7 when 0 then 'go' || c_custkey when 1 then 'f' when 2 then 'm' when 3 then 'n' when 4 then 'A' when 5 then 'click' end as capture from customer union all select c_custkey, 1, 'async_function', 'async function go' || c_custkey, 'go' || c_custkey from customer where c_custkey % 7 = 0""")
+def g2_structural_js(spark, sf_dir):
+    key = F.col("c_custkey")
+    raw = F.when(key % 7 == 0, F.concat(F.lit("async function go"), key.cast("string"), F.lit("() {"))).when(key % 7 == 1, F.lit("let f = (a) => a;")).when(key % 7 == 2, F.lit('import x from "m";')).when(key % 7 == 3, F.lit('y = require("n");'))
+    raw = raw.when(key % 7 == 4, F.lit("class A {")).when(key % 7 == 5, F.lit('b.addEventListener("click", c);')).otherwise(F.lit("d.innerHTML = e;"))
+    return S.structural_search(table(spark, sf_dir, "customer").select(key.alias("file_id"), F.lit(1).cast("long").alias("line_no"), raw.alias("raw")), "javascript")
+
+
+@query("with k as (select c_custkey as file_id, c_custkey % 3 as k from customer) select file_id, 1::bigint as script_no, 2::bigint as xml_start, 1::bigint as js_start, 1::bigint as length, 'var a = 1;' as body from k where k = 0 union all select file_id, 2, 5, 2, 2, 'b();' || chr(10) || 'if (c) d();' from k where k = 0 union all select file_id, 1, 2, 1, 1, 'return ' || file_id || ';' from k where k = 1")
+def x22_cdata_scripts(spark, sf_dir):
+    """Two sections and their places; one line, and a script with a source; and one without words of script."""
+    key = F.col("c_custkey")
+    two = F.lit("<s>\n<script><![CDATA[var a = 1;]]></script>\n<script type='x'>\n<![CDATA[\nb();\nif (c) d();]]>\n</script></s>")
+    one = F.concat(F.lit("<s>\n<script><![CDATA[return "), key.cast("string"), F.lit(";]]></script>\n<script src='a'><![CDATA[var a;]]></script></s>"))
+    content = F.when(key % 3 == 0, two).when(key % 3 == 1, one).otherwise(F.lit("<script><![CDATA[only text]]></script>\n<![CDATA[var b]]>"))
+    return M.cdata_scripts(table(spark, sf_dir, "customer").select(key.alias("file_id"), content.alias("content")))
+
+
 @query("with k as (select c_custkey as file_id, c_custkey % 3 as k, c_custkey % 5 as pos from customer) select file_id, 'NESTED_VAR_LOOP' as rule, 'critical' as severity, (pos + 2)::bigint as line, 'i' as variable from k where k = 0 union all select file_id, 'VAR_CLOSURE_LOOP', 'high', (pos + 2)::bigint, 'n' from k where k = 1")
 def js_loop_rules(spark, sf_dir):
     """J-S1 and J-S2: scripts with up to four lines before their loop; the third kind has a loop without fault."""

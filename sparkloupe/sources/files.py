@@ -62,6 +62,19 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     return decode(rows)
 
 
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """S3: (path, file_size, last_modified) of the files under a root whose names match, by path; a root that isn't a
+    folder is an error. Contents aren't read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at) or not system.getFileStatus(at).isDirectory():
+        raise NotADirectoryError(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(root).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified")).orderBy("path")
+
+
 def split_glob(pattern: str) -> tuple[str, str]:
     """An absolute pattern to the folder before its first wildcard and the rest; a relative one is under `.`."""
     parts = PurePosixPath(pattern).parts
@@ -113,6 +126,37 @@ def include_closure(includes: DataFrame, depth: int = 3) -> DataFrame:
     return known
 
 
+def resolve_headers(sources: DataFrame, includes: DataFrame, files: DataFrame, walk: int = 5, depth: int = 3) -> DataFrame:
+    """sources(path) by includes(path, header, is_system) of all files and files(path): (source, header, kind,
+    resolved, level). System headers are stubs; others are looked for in the source's folder and `walk` folders above it, the
+    nearest first; what isn't found is unresolved. The headers found are followed `depth` levels down, each once for a
+    source. A bounded loop of equi joins."""
+    front = includes.join(sources.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("source"), "header", "is_system").distinct().withColumn("level", F.lit(0))
+    out = seen = None
+    for level in range(depth + 1):
+        system = front.where("is_system").select("source", "header", F.lit("system").alias("kind"), F.lit(None).cast("string").alias("resolved"), "level")
+        user = front.where("not is_system").select("source", "header", "level")
+        parts = F.slice(F.split("source", "/"), F.lit(1), F.greatest(F.size(F.split("source", "/")) - 1, F.lit(1)))
+        steps = F.transform(F.sequence(F.lit(0), F.least(F.lit(walk), F.size(parts) - 1)), lambda k: F.struct(k.alias("k"), F.concat(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/"), F.lit("/"), F.col("header")).alias("full")))  # noqa: B023
+        tries = user.select("source", "header", F.inline(steps))
+        hit = tries.join(files.select(F.col("path").alias("full")).distinct(), "full").groupBy("source", "header").agg(F.min_by("full", "k").alias("resolved"))
+        rows = user.join(hit, ["source", "header"], "left")
+        rows = rows.select("source", "header", F.when(F.col("resolved").isNull(), "unresolved").otherwise("real").alias("kind"), "resolved", "level")
+        found = rows.where("kind = 'real'").select("source", "resolved").distinct()
+        found = found if seen is None else found.join(seen, ["source", "resolved"], "left_anti")
+        seen = found if seen is None else seen.union(found)
+        out = system.union(rows) if out is None else out.union(system).union(rows)
+        front = found.join(includes.withColumnRenamed("path", "resolved"), "resolved").select("source", "header", "is_system").distinct().withColumn("level", F.lit(level + 1))
+    first = out.groupBy("source", "header", (F.col("kind") == "system").alias("stub")).agg(F.min_by(F.struct("kind", "resolved", "level"), "level").alias("f"))
+    return first.select("source", "header", "f.kind", "f.resolved", "f.level")
+
+
+def template(path: str, **values: object) -> str:
+    """A text file with {name} filled in; a name without a value is an error."""
+    with open(path, encoding="utf-8") as f:
+        return f.read().format(**values)
+
+
 def settings(*paths: str, environment: str | None = None) -> dict:
     """JSON settings, later files over earlier ones, and a file that an environment variable names over all."""
     named = os.environ.get(environment) if environment else None

@@ -23,13 +23,21 @@ def clang_tidy(lines: DataFrame) -> DataFrame:
 
 
 def precompiler(lines: DataFrame) -> DataFrame:
-    """lines(file_id, line_no, raw): a code line applies to the next position line; each code once."""
-    code = F.regexp_extract("raw", r"\b(PCC-[SWEF]-[0-9]+)", 1)
-    at = F.regexp_extract("raw", r"(?i)error at line ([0-9]+), column ([0-9]+)", 1)
+    """lines(file_id, line_no, raw) to (file_id, line, column, code, message): a code line applies to the next
+    position line, each code once; a code line with a colon is a message of its own, too, at the line in brackets or 0."""
+    text = F.trim("raw")
+    code = F.regexp_extract(text, r"(PCC-[SWE]-[0-9]+)", 1)
+    at = lambda i: F.regexp_extract(text, r"(?i)Semantic error at line ([0-9]+),\s*column ([0-9]+)", i)
+    alone = r"^(?:PCC-[SWE]-\d+,\s+)?(.+?)(?:\((\d+)\))?:\s*(.+)$"
     w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.select("file_id", "line_no", code.alias("code"), at.alias("at"), "raw").where("code <> '' or at <> ''")
-    last = F.last(F.struct("code", "at"), ignorenulls=True).over(w)
-    return rows.withColumn("p", last).where("at <> ''").select("file_id", F.col("at").cast("long").alias("line"), F.when(F.col("code") != "", F.col("code")).otherwise(F.when(F.col("p.at") == "", F.col("p.code"))).alias("code"))
+    rows = lines.select("file_id", "line_no", code.alias("code"), at(1).alias("at"), at(2).alias("column"), text.alias("text")).where("code <> '' or at <> ''")
+    rows = rows.withColumn("p", F.last(F.struct("code", "at"), ignorenulls=True).over(w))
+    own = F.when(F.col("code") != "", F.col("code")).otherwise(F.when(F.col("p.at") == "", F.col("p.code")))
+    placed = rows.where("at <> ''").select("file_id", F.col("at").cast("long").alias("line"), F.col("column").cast("long").alias("column"), own.alias("code"), F.col("text").alias("message"))
+    bare = rows.where(F.col("at") == "").where(F.col("text").startswith("PCC-") & F.col("text").rlike(alone))
+    group = lambda i: F.regexp_extract("text", alone, i)
+    bare = bare.select("file_id", F.coalesce(F.nullif(group(2), F.lit("")).cast("long"), F.lit(0)).alias("line"), F.lit(0).cast("long").alias("column"), "code", F.trim(group(3)).alias("message"))
+    return placed.union(bare)
 
 
 def response_text(lines: DataFrame) -> DataFrame:

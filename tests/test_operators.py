@@ -214,6 +214,26 @@ def test_tool_outputs(spark):
     assert {r["response_id"]: (r["text"], r["error"]) for r in TO.response_text(spark.createDataFrame(parts, "response_id long, seq long, raw string")).collect()} == {1: ("abc", None), 2: ("", "e")}
 
 
+def test_listing_templates_and_unknown_languages(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("d/z.c", "a.c", "b.txt"):
+        (tmp_path / name).write_text("x {who}")
+    assert [r["path"].rsplit("/", 1)[1] for r in SF.list_files(spark, str(tmp_path), "*.c").collect()] == ["a.c", "z.c"]
+    with pytest.raises(NotADirectoryError):
+        SF.list_files(spark, f"{tmp_path}/none")
+    assert SF.template(f"{tmp_path}/a.c", who="y") == "x y"
+    with pytest.raises(KeyError):
+        SF.template(f"{tmp_path}/a.c")
+    with pytest.raises(ValueError):
+        S.structural_search(spark.createDataFrame([], "file_id long, line_no long, raw string"), "cobol")
+
+
+def test_cdata_blocks():
+    text = "<script>\n<![CDATA[ var a;\n b();\n]]></script>\n<script><![CDATA[text]]></script><script>\nvar c;</script>"
+    assert M.cdata_blocks(text) == [{"xml_start": 3, "js_start": 1, "length": 2, "body": " var a;\n b();"}]
+    assert M.cdata_blocks("") == []
+
+
 def test_structural_search_and_grep(spark):
     lines = spark.createDataFrame([(1, 1, "  SELECT * FROM t"), (1, 2, "x")], "file_id long, line_no long, raw string")
     assert [tuple(r) for r in S.structural_search(lines, "sql", "select_star").collect()] == [(1, 1, "select_star", "SELECT *", None)]
