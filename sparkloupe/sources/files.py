@@ -130,7 +130,8 @@ def resolve_headers(sources: DataFrame, includes: DataFrame, files: DataFrame, w
     """sources(path) by includes(path, header, is_system) of all files and files(path): (source, header, kind,
     resolved, level). System headers are stubs; others are looked for in the source's folder and `walk` folders above it, the
     nearest first; what isn't found is unresolved. The headers found are followed `depth` levels down, each once for a
-    source. A bounded loop of equi joins."""
+    source. A bounded loop of equi joins, each written to the checkpoint folder."""
+    ensure_checkpoint_dir(files.sparkSession)
     front = includes.join(sources.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("source"), "header", "is_system").distinct().withColumn("level", F.lit(0))
     out = seen = None
     for level in range(depth + 1):
@@ -141,7 +142,7 @@ def resolve_headers(sources: DataFrame, includes: DataFrame, files: DataFrame, w
         tries = user.select("source", "header", F.inline(steps))
         hit = tries.join(files.select(F.col("path").alias("full")).distinct(), "full").groupBy("source", "header").agg(F.min_by("full", "k").alias("resolved"))
         rows = user.join(hit, ["source", "header"], "left")
-        rows = rows.select("source", "header", F.when(F.col("resolved").isNull(), "unresolved").otherwise("real").alias("kind"), "resolved", "level")
+        rows = rows.select("source", "header", F.when(F.col("resolved").isNull(), "unresolved").otherwise("real").alias("kind"), "resolved", "level").checkpoint()
         found = rows.where("kind = 'real'").select("source", "resolved").distinct()
         found = found if seen is None else found.join(seen, ["source", "resolved"], "left_anti")
         seen = found if seen is None else seen.union(found)
