@@ -68,6 +68,14 @@ def xml_columns(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", F.explode("x.columns").alias("c")).select("file_id", "c.*")
 
 
+def list_errors(rows: DataFrame) -> DataFrame:
+    """(file_id, line, message) of lists without an id, or with a blank one or a colon."""
+    e = rows.select("file_id", F.explode("x.elements").alias("e")).where(F.lower("e.tag") == "datalist")
+    ident = F.coalesce("e.id", F.lit(""))
+    message = F.concat(F.lit("L"), F.col("e.line").cast("string"), F.lit(": dataList ID가 비어있거나 유효하지 않음: '"), ident, F.lit("'"))
+    return e.where(F.trim(ident).isin("", ":")).select("file_id", F.col("e.line").alias("line"), message.alias("message"))
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """Ids on several elements of a file, columns and data aside: (file_id, id, n, lines)."""
     e = rows.select("file_id", F.explode("x.elements").alias("e")).where(F.col("e.id").isNotNull() & ~F.lower("e.tag").isin(*NO_IDS))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _DECL = re.compile(r"^\s*(?!typedef\b|struct\b|#)(?:[A-Za-z_][\w]*[\s*]+)+([A-Za-z_]\w*)\s*\([^;]*$")
-_BARE = re.compile(r"^\s*([A-Za-z_]\w*)\s*\([^;]*$")
+#: A line with nothing but a type, whose function's name is on the next.
+_TYPE = re.compile(r"^\s*(?:static\s+|extern\s+|inline\s+)*(?:void|int|char|long|short|unsigned|float|double|size_t|ssize_t|\w+_t)\s*\*?\s*$")
 _CONTROL = re.compile(r"\b(if|else|for|while|switch|return|do|case|sizeof|EXEC)\b")
 _JS = re.compile(r"^\s*(?:(?:async\s+)?function\s+([\w$]+)\s*\(|(?:(?:var|let|const)\s+)?([\w$.]+)\s*=\s*(?:async\s+)?function\b)")
 _BRACE = re.compile(r"[{}]")
@@ -31,9 +32,11 @@ def spans_of(text: str, language: str = "c") -> list[tuple]:
     out, i = [], 0
     while i < len(rows):
         m = (_JS if language == "javascript" else _DECL).match(rows[i])
-        if not m and language != "javascript" and i and re.fullmatch(r"\s*[A-Za-z_][\w\s*]*", rows[i - 1]):
-            m = _BARE.match(rows[i])
-        if not m or (language != "javascript" and _CONTROL.search(rows[i])):
+        head = rows[i]
+        if not m and language != "javascript" and _TYPE.match(head) and i + 1 < len(rows):
+            head = f"{head.rstrip()} {rows[i + 1].lstrip()}"
+            m = _DECL.match(head)
+        if not m or (language != "javascript" and _CONTROL.search(head)):
             i += 1
             continue
         depth, opened, end = 0, False, None
@@ -49,7 +52,7 @@ def spans_of(text: str, language: str = "c") -> list[tuple]:
             i += 1
             continue
         name = next(g for g in m.groups() if g)
-        signature = rows[i].strip()
+        signature = head.strip()
         out.append((name, i + 1, end + 1, signature if len(signature) <= 80 else signature[:77] + "...", bool(BOILERPLATE.search(name))))
         i = end + 1
     return out

@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..operators import embedded_sql as E
 from ..operators import search as S
 from ..operators import structure as X
-from ._base import PROC_DUCK, proc_lines, query
+from ..plans import verdict
+from ._base import ORACLES, PROC_DUCK, proc_lines, query
 
 _FILES = PROC_DUCK + ", source_file as (select file_id, string_agg(raw, chr(10) order by line_no) as content from source_line group by file_id)"
 _CODE = """code as (select *, regexp_replace(regexp_replace(regexp_replace(raw, '"[^"]*"', '""', 'g'), '/\\*.*\\*/', '', 'g'), '//.*$', '') as code from source_line)"""
@@ -371,3 +372,19 @@ def a13_routing(spark, sf_dir):
 
     files = _files(spark, sf_dir)
     return I.routing(files, X.function_spans(files), 1.12)
+
+
+@query(f"with {PROC_DUCK}, {_SPAN} select file_id, func_name, line_start + fn as line_start, line_end + fn + 1 as line_end, 'static int ' || func_name || '(int a, char *src)' as signature from span")
+def x2_two_line_names(spark, sf_dir):
+    """X2, with each function's type on a line of its own."""
+    content = F.replace(F.col("content"), F.lit("static int fn_"), F.lit("static int\nfn_"))
+    return X.function_spans(_files(spark, sf_dir).withColumn("content", content)).select("file_id", "func_name", "line_start", "line_end", "signature")
+
+
+_ALL = " union all ".join(f"select file_id, rule_id, severity, line_no from ({ORACLES[q]})" for q in ("e1_sqlca_missing", "e2_select_into_mismatch", "e3_host_var_count", "e4_indicator_missing", "e8_file_rules", "e5_cursor_rules", "c_rules"))
+
+
+@query(_ALL)
+def w18_findings(spark, sf_dir):
+    """The findings of all scanners as one relation."""
+    return verdict.embedded_sql_findings(_files(spark, sf_dir))

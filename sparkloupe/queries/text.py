@@ -152,6 +152,14 @@ def x18_data_lists(spark, sf_dir):
     return M.xml_columns(_screens(spark, sf_dir))
 
 
+@query("select c_custkey as file_id, 2::bigint as line, 'L2: dataList ID가 비어있거나 유효하지 않음: ''' || case c_custkey % 4 when 1 then ':' when 2 then '  ' else '' end || '''' as message from customer where c_custkey % 4 > 0")
+def x18_list_errors(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    ident = F.when(k == 0, ' id="a"').when(k == 1, ' id=":"').when(k == 2, ' id="  "').otherwise("")
+    content = F.concat(F.lit("<s>\n<dataList"), ident, F.lit('><column id="b"/></dataList></s>'))
+    return M.list_errors(M.parsed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), content.alias("content"))))
+
+
 @query("select c_custkey as file_id, 'i' || c_custkey % 2 as id, 'onclick' as event, 'f' || c_custkey % 4 as functions, 7::bigint as line from customer")
 def x19_events(spark, sf_dir):
     """X17 and X19."""
