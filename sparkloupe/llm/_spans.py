@@ -60,11 +60,12 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
-    """The text with each span, sorted by start, replaced by the mark; spans that overlap are replaced as one."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each span, sorted by start, replaced by the mark; spans that overlap are replaced as one. Each span
+    adds the text since the furthest end so far, so the text is put together once."""
+    end = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["stop"])), F.lit(0))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"), s["stop"].alias("at"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["stop"]).alias("at")))
+    def piece(s: Column, i: Column) -> Column:
+        return let(end(i), lambda d: F.when(s["start"] >= d, F.concat(F.substring(text, d + 1, s["start"] - d), F.lit(mark))).otherwise(F.lit("")))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))).otherwise(text)
+    whole = F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, end(F.size(spans)) + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

@@ -93,11 +93,12 @@ def candidates(text: Column) -> Column:
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, int, str, str, str]]:
     """(kind, base, before, match, after) of at most `most` base matches and as many other candidates of docs(doc_id,
-    text), drawn by a hash of doc_id and place."""
+    text), drawn by a hash of doc_id and place from about 8 * `most` documents, two of each from a document at most."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // (8 * most)))) == 0
     clear = lambda a, s: (a["start"] < s["stop"]) & (s["start"] < a["stop"])
     bare = lambda x, base: F.transform(x, lambda s: F.struct(s["kind"].alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["stop"].alias("stop")))
-    both = lambda b: F.concat(bare(b, 1), bare(F.filter(candidates(F.col("text")), lambda c: ~F.exists(b, lambda a: clear(a, c))), 0))
+    few = lambda x: F.slice(x, 1, 2)
+    both = lambda b: F.concat(bare(few(b), 1), bare(few(F.filter(candidates(F.col("text")), lambda c: ~F.exists(b, lambda a: clear(a, c)))), 0))
     rows = docs.where(part & F.col("text").isNotNull()).select("doc_id", "text", F.explode(let(base_spans(F.col("text")), both)).alias("s"))
     begin = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
     cut = lambda at, stop: F.substring("text", at + 1, stop - at)

@@ -104,6 +104,21 @@ def test_simhash_weird_rows(spark):
     assert simhash.classes(spark, documents(spark, [])).count() == 0
 
 
+def test_simhash_of_one_id_with_two_texts(spark):
+    """Ids are what links join: an id that is the smallest of two fingerprints joins them."""
+    rows = [(1, "one text of a few words here", "en", "a"), (1, "quite another line with other terms", "en", "a"), (2, "one text of a few words here", "en", "a"), (3, "quite another line with other terms", "en", "a"), (4, "a third one that has nothing in common", "en", "a")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.classes(spark, documents(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_pipeline_keeps_the_same_row_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(7, words(random.Random(i), 40), "en", "a") for i in range(5)] + [(None, "x y z", "en", "a")] * 2
+    once = [sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, order), "").collect()) for order in (rows, rows[::-1])]
+    assert once[0] == once[1] and len(once[0]) == 3
+
+
 def test_near_groups_find_similar_texts_only(spark):
     rng = random.Random(9)
     a = words(rng, 250).split()
@@ -244,6 +259,14 @@ def test_language_weird_rows(spark):
 
 
 
+def test_language_ties_go_to_the_more_frequent_one(spark):
+    text = words(random.Random(3), 200)
+    rows = [(i, text, "aa" if i < 6 else "bb", "a") for i in range(9)] + [(20, text[:300], None, "a")]
+    docs = documents(spark, rows)
+    predict = language_id.predictor(spark, language_id.fit(docs, F.lit(True)))
+    assert {(r[0]["lang"], r[0]["rejected"]) for r in docs.select(predict("text")).collect()} == {("aa", True)}
+
+
 def _languages(spark, n):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text is not null and lang is not null")
     return docs.orderBy("doc_id").limit(n)
