@@ -77,8 +77,9 @@ def star_hyphens(text: Column, sql: bool = False) -> Column:
 
 
 def blank_strings(line: Column) -> Column:
-    """A line without comments, its literals emptied."""
-    return rewrite(line, C_TOKENS, lambda t: F.when(is_comment(t), F.lit("")).when(t.startswith('"'), F.lit('""')).when(t.startswith("'") & (F.length(t) > 1), F.lit("''")).otherwise(t))
+    """A line without comments, its literals emptied; lines with neither a quote nor a slash are as they are."""
+    bare = rewrite(line, C_TOKENS, lambda t: F.when(is_comment(t), F.lit("")).when(t.startswith('"'), F.lit('""')).when(t.startswith("'") & (F.length(t) > 1), F.lit("''")).otherwise(t))
+    return F.when(line.rlike("[\"'/]"), bare).otherwise(line)
 
 
 def mask_digits(text: Column, least: int = 6) -> Column:

@@ -28,9 +28,6 @@ RULES = (
     ("romanised_name", "medium", rf"(?U)\b(?:{SURNAMES})[\s.-][A-Z][a-z]{{2,6}}(?:[\s.-][A-Z]?[a-z]{{2,6}})?\b", False, None),
     ("romanised_name", "medium", rf"(?U)\b[A-Z][a-z]{{2,6}}[\s.-](?:{SURNAMES})\b", False, None),
 )
-#: What a text must hold for a rule to match: the rule's own search is only made where it does.
-_DIGITS, _LONG, _NAMES = r"[0-9]{3}", r"[0-9]{6}", SURNAMES
-GUARDS = {"email": "@", "passport": r"[A-Z][0-9]{7}", "card": r"[0-9]{4}[-\s][0-9]{4}", "imsi": "450[0-9]{12}", "iccid": "89[0-9]{17}", "imei": "[0-9]{15}", "foreigner_registration": "[0-9]{6}-[0-9]", "resident_registration": "[0-9]{6}-[0-9]", "driver_licence": "-[0-9]{6}-", "romanised_name": _NAMES}
 #: Secrets in formats that their issuers document.
 SECRETS = (
     ("aws_key", "critical", r"\bAKIA[0-9A-Z]{16}\b", False, None),
@@ -43,35 +40,34 @@ SECRETS = (
 )
 
 
-def _matches(rule: tuple, text: Column, digits: Column) -> Column:
-    """The rule's matches, behind its cheap guard."""
-    code, _, pattern, _, _ = rule
-    guard = digits if code in ("phone", "business_number", "safety_number") else F.contains(text, F.lit("@")) if code == "email" else text.rlike(GUARDS[code]) if code in GUARDS else F.lit(True)
-    if code in GUARDS and code not in ("email", "romanised_name"):
-        guard = digits & guard
-    return F.when(guard, matches(text, pattern)).otherwise(F.array().cast(SPANS))
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def findings(text: Column, rules=RULES) -> Column:
     """array<struct(start, end, prio, rule, severity, value)> by rule and place: identical spans once, by the first rule;
     overlapping unequal ones all stay; values whose long digit groups are a digit and zeros are masked data and don't
     count. Null for a null text."""
-    digits = text.rlike(_DIGITS)
-    masked = F.when(digits & text.rlike(_LONG), T.mask_digits(text, 6)).otherwise(text)
-    parts = []
-    for i, rule in enumerate(rules):
-        code, severity, _, on_masked, check = rule
-        # a masked rule's guard holds of the masked text if it holds of the text, as masking keeps digits digits
-        spans = _matches(rule, masked if on_masked else text, digits)
-        value = lambda s: F.substring(text, s["start"] + 1, F.length(s["match"])) if on_masked else s["match"]  # noqa: E731, B023
-        if check == "luhn":
-            spans = F.filter(spans, lambda s: F.call_function("luhn_check", s["match"]))
-        parts.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), F.lit(i).alias("prio"), F.lit(code).alias("rule"), F.lit(severity).alias("severity"), value(s).alias("value"))))  # noqa: B023
-    every = F.concat(*parts)
-    runs = lambda s: F.regexp_extract_all(s["value"], F.lit("[0-9]{6,}"), F.lit(0))
-    real = F.filter(every, lambda s: ~(s["value"].rlike("[0-9]{6}") & F.forall(runs(s), lambda g: g.rlike("^[0-9]0*$"))))
-    once = F.element_at(F.transform(F.array(real), lambda a: F.filter(a, lambda s: ~F.exists(a, lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["prio"] < s["prio"])))), 1)
-    return F.when(F.size(every) > 0, once).otherwise(every)
+
+    def every(masked: Column) -> Column:
+        parts = []
+        for i, (code, severity, pattern, on_masked, check) in enumerate(rules):
+            spans = matches(masked if on_masked else text, pattern)
+            value = lambda s: F.substring(text, s["start"] + 1, F.length(s["match"])) if on_masked else s["match"]  # noqa: E731, B023
+            if check == "luhn":
+                spans = F.filter(spans, lambda s: F.call_function("luhn_check", s["match"]))
+            parts.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), F.lit(i).alias("prio"), F.lit(code).alias("rule"), F.lit(severity).alias("severity"), value(s).alias("value"))))  # noqa: B023
+        return F.concat(*parts)
+
+    def once(found: Column) -> Column:
+        runs = lambda s: F.regexp_extract_all(s["value"], F.lit("[0-9]{6,}"), F.lit(0))
+        real = F.filter(found, lambda s: ~(s["value"].rlike("[0-9]{6}") & F.forall(runs(s), lambda g: g.rlike("^[0-9]0*$"))))
+        first = _let(real, lambda a: F.filter(a, lambda s: ~F.exists(a, lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["prio"] < s["prio"]))))
+        return F.when(F.size(found) > 0, first).otherwise(found)
+
+    masked = F.when(text.rlike("[0-9]{6}"), T.mask_digits(text, 6)).otherwise(text)
+    return F.when(text.isNotNull(), _let(_let(masked, every), once))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -108,9 +104,8 @@ def centre_mask(value: Column) -> Column:
 
 def masked_text(text: Column, rules=RULES + SECRETS) -> Column:
     """Every span of every rule replaced by as many asterisks."""
-    digits = text.rlike(_DIGITS)
-    spans = F.concat(*[F.transform(_matches(rule, text, digits), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("stop"))) for rule in rules])
-    return starred(text, spans)
+    spans = F.concat(*[F.transform(matches(text, rule[2]), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("stop"))) for rule in rules])
+    return _let(spans, lambda s: starred(text, s))
 
 
 def positions(findings: DataFrame, docs: DataFrame) -> DataFrame:

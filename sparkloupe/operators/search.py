@@ -113,9 +113,12 @@ def structural_search(lines: DataFrame, language: str | None = None, name: str |
 
 
 def rule_hits(code: Column, rules=C_RULES) -> Column:
-    """The rules that a line without comments and literals breaks, as an array of (rule_id, severity, category)."""
+    """The rules that a line without comments and literals breaks, as an array of (rule_id, severity, category). Every
+    rule of C_RULES needs a bracket, so that lines without one aren't searched."""
     hit = lambda r: F.when(code.rlike(r[3]), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category")))
-    return F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[hit(r) for r in rules]), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<rule_id:string,severity:string,category:string>>")
+    return F.when(code.contains("(") | code.contains("["), hits).otherwise(none) if rules is C_RULES else hits
 
 
 def scan_rules(lines: DataFrame, rules=C_RULES, code: Column | None = None) -> DataFrame:
