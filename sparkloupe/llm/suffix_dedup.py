@@ -12,7 +12,8 @@ anchors are joined back by hash, where AQE splits hot keys. Each anchor occurren
 around it can cover, and equal surroundings are settled without ordering their suffixes. The occurrences of an anchor
 that has more than `GROUP` of them are dealt evenly and take all remaining digits at once, as grouped minima, which
 are combined before the shuffle: no task holds a hot anchor. Both ways give the same rows. The shuffle files of each
-step are deleted when its table is written.
+step are deleted when its table is written. Joins are merges by hint: Spark goes by the compressed size of a saved table,
+and would gather some ten times that in the driver to broadcast it.
 """
 
 from __future__ import annotations
@@ -228,13 +229,13 @@ def _by_minima(over: DataFrame, space: Workspace) -> DataFrame:
     over = over.withColumn("at", F.struct("doc", "sub", "pos"))
     firsts = space.save(over.groupBy(*key).agg(F.min("at").alias("first")).where(F.length("bytes") >= THRESHOLD), "firsts")
     begin = F.col("pos") - F.col("before")
-    copies = over.join(firsts, key).where("at > first").select("doc", "sub", begin.alias("start"), (begin + F.length("bytes")).alias("end"))
+    copies = over.join(firsts.hint("merge"), key).where("at > first").select("doc", "sub", begin.alias("start"), (begin + F.length("bytes")).alias("end"))
     windows = firsts.select(*key, "first", F.explode(F.sequence(F.lit(0), F.length("bytes") - THRESHOLD)).alias("s"))
     windows = windows.select("gram", "first", "before", "s", (F.col("before") - F.col("s")).alias("offset"), F.substring("bytes", F.col("s") + 1, F.lit(THRESHOLD)).alias("window"))
     lows = windows.groupBy("gram", "offset", "window").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").drop("high")
     lows = space.save(lows, "minima")
     begin = F.col("first.pos") - F.col("before")
-    covered = windows.join(lows, ["gram", "offset", "window"]).where("first > low").groupBy("first", "before").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    covered = windows.join(lows.hint("merge"), ["gram", "offset", "window"]).where("first > low").groupBy("first", "before").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     return copies.union(covered.select("first.doc", "first.sub", begin + F.col("low"), begin + F.col("high") + THRESHOLD))
 
 
@@ -278,11 +279,11 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, space: Workspace, group
     more = found.groupBy("gram").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).where("low <> high")
     more = space.save(more.select("gram", (F.col("n") > group).alias("hot")), "repeated")
     marked = F.when(F.col("hot"), -1 - F.col("pos")).otherwise(F.col("pos")).cast("int")
-    places = space.save(found.join(more, "gram").groupBy("content").agg(F.collect_set(marked).alias("at")), "places")
+    places = space.save(found.join(more.hint("merge"), "gram").groupBy("content").agg(F.collect_set(marked).alias("at")), "places")
     space.drop(found)
-    of = contents.join(places, "content").select("doc", "sub", "sha", "at")
+    of = contents.join(places.hint("merge"), "content").select("doc", "sub", "sha", "at")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), sha.alias("sha"), body.alias("text"))
-    near = texts.join(of, ["doc", "sha"]).select("doc", "sub", "at", "text").mapInArrow(_occurrences, OCCURRENCE)
+    near = texts.join(of.hint("merge"), ["doc", "sha"]).select("doc", "sub", "at", "text").mapInArrow(_occurrences, OCCURRENCE)
     dealt = near.repartition(F.when(F.col("hot"), F.xxhash64("doc", "sub", "pos")).otherwise(F.col("gram")))
     settled = space.save(dealt.sortWithinPartitions("hot", "gram", "doc", "sub", "pos").mapInArrow(_settle, SETTLED), "settled")
     space.drop(places)
@@ -303,10 +304,10 @@ def dedup(spark: SparkSession, docs: DataFrame, name: str = "suffix-dedup", grou
     space = Workspace(spark, name)
     contents, ranges = removed_ranges(spark, docs, space, group)
     of = ranges.groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    of = contents.join(of, ["doc", "sub"], "left").select("sha", "doc", "ranges")
+    of = contents.join(of.hint("merge"), ["doc", "sub"], "left").select("sha", "doc", "ranges")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    joined = rows.join(of, "sha").select("doc_id", "text", (F.coalesce("doc_id", F.lit(LAST)) != F.col("doc")).alias("copy"), "ranges")
+    joined = rows.join(of.hint("merge"), "sha").select("doc_id", "text", (F.coalesce("doc_id", F.lit(LAST)) != F.col("doc")).alias("copy"), "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -223,6 +223,19 @@ def test_repeats_weird_rows(spark):
     assert suffix_dedup.dedup(spark, documents(spark, [])).count() == 0
 
 
+def test_suffix_dedup_gathers_no_table_in_the_driver(spark, monkeypatch):
+    """Saved tables are small when compressed; none is broadcast, not even those of a hot anchor."""
+    plans = []
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, tag: plans.append(df) or save(self, df, tag))
+    rng = random.Random(5)
+    shared = words(rng, 60)
+    plans.append(suffix_dedup.dedup(spark, documents(spark, [(i, words(rng, 20) + shared + words(rng, 20), "en", "a") for i in range(40)]), group=16))
+    said = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(said) == 9 and sum("SortMergeJoin" in t for t in said) >= 4
+    assert not any("Broadcast" in t for t in said)
+
+
 def test_anchors_are_found_alike_wherever_a_window_stands():
     rng = random.Random(2)
     window = words(rng, 40).encode()[:100]
