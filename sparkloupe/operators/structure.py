@@ -7,7 +7,7 @@ relations made of them are ordinary DataFrames.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,7 +91,10 @@ DECLARED = re.compile(r"^\s*(?:static\s+|extern\s+|const\s+)*((?:unsigned\s+)?(?
 ERROR_PATH = re.compile(r"\b(return[\s;]|goto\s|break\s*;|exit\s*\(|abort\s*\()", re.I)
 MERGED = 5
 _INDICATED = re.compile(r":(\w+)\s*(?:INDICATOR\s*)?:(\w+)", re.I)
-_EXEC = re.compile(r"\bEXEC\s+SQL\b", re.I)
+_EXEC = re.compile(r"[Ee](?<!\w[Ee])[Xx][Ee][Cc][^\S\n]+[Ss][Qq][Ll]\b")
+_KIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
+_WHENEVER = re.compile(r"WHENEVER\s+(NOT\s+FOUND|\w+)\s+(.*)", re.I)
+_HOST = re.compile(r":(\w+)(?!:)")
 
 
 def regions_of(text: str, spans: list[tuple] | None = None) -> tuple[list[dict], list[dict], list[dict]]:
@@ -115,37 +118,45 @@ def regions_of(text: str, spans: list[tuple] | None = None) -> tuple[list[dict],
     code = [False] * len(rows)
     declared: list[dict] = []
     whenever, section, i = None, False, 0
-    while i < len(rows):
-        m = _EXEC.search(rows[i])
-        if not m:
-            if section:
-                if v := DECLARED.match(rows[i]):
-                    declared.append({"name": v[3], "c_type": v[1] + v[2] + (v[4] or ""), "line": i + 1, "func_name": inside(i + 1)})
-            else:
-                code[i] = True
-            i += 1
+    found = {}
+    for m in _EXEC.finditer(text):
+        k = bisect_left(ends, m.end())
+        found.setdefault(k, m.end() - (ends[k - 1] + 1 if k else 0))
+    for at in (*found, len(rows)):
+        if at < i:  # within the statement before
             continue
-        j = i
-        while j < len(rows) and ";" not in rows[j][m.end() if j == i else 0 :]:
+        if section:
+            for k in range(i, at):
+                if v := DECLARED.match(rows[k]):
+                    declared.append({"name": v[3], "c_type": v[1] + v[2] + (v[4] or ""), "line": k + 1, "func_name": inside(k + 1)})
+        else:
+            code[i:at] = [True] * (at - i)
+        if at == len(rows):
+            break
+        i = j = at
+        while j < len(rows) and ";" not in rows[j][found[at] if j == i else 0 :]:
             j += 1
         if j == len(rows):
             code[i:] = [True] * (len(rows) - i)
             break
         raw = "\n".join(rows[i : j + 1])
-        body = re.sub(r"\s+", " ", raw[m.end() :].split(";")[0]).strip()
+        body = " ".join(raw[found[at] :].split(";")[0].split())
         upper = body.upper()
         if upper.startswith("BEGIN DECLARE SECTION"):
             section = True
         elif upper.startswith("END DECLARE SECTION"):
             section = False
-        elif w := re.match(r"WHENEVER\s+(NOT\s+FOUND|\w+)\s+(.*)", body, re.I):
+        elif w := _WHENEVER.match(body):
             whenever = None if w[2].upper().startswith("CONTINUE") else body
         elif not upper.startswith("INCLUDE"):
-            kind = next((k for k, p in KINDS if re.match(p, upper)), "OTHER")
-            plain = _INDICATED.sub(r":\1", body)
-            hosts = list(dict.fromkeys(re.findall(r":(\w+)(?!:)", plain)))
+            kind = m.lastgroup if (m := _KIND.match(upper)) else "OTHER"
+            plain, indicators = body, []
+            if ":" in body:
+                indicators = [x[1] for x in _INDICATED.findall(body)]
+                plain = _INDICATED.sub(r":\1", body) if indicators else body
+            hosts = list(dict.fromkeys(_HOST.findall(plain)))
             after = text[ends[j] : ends[j] + 200]
-            blocks.append({"kind": kind, "sql_text": body, "line_start": i + 1, "line_end": j + 1, "host_vars": hosts, "indicators": [x[1] for x in _INDICATED.findall(body)], "has_sqlca_check": bool(CHECKED.search(after)), "whenever": whenever, "func_name": inside(i + 1)})
+            blocks.append({"kind": kind, "sql_text": body, "line_start": i + 1, "line_end": j + 1, "host_vars": hosts, "indicators": indicators, "has_sqlca_check": bool(CHECKED.search(after)), "whenever": whenever, "func_name": inside(i + 1)})
         i = j + 1
     segments: list[dict] = []
     i = 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import markup as M
+from ..operators import one_pass as O
 from ..operators import pii as P
 from ..operators import search as S
 from ..operators import structure as X
@@ -244,8 +245,7 @@ def j7_rebase(spark, sf_dir):
 
 @query(f"with {PROC_DUCK}, d as (select file_id, line_no, ln from source_line where raw like '%int cnt;'), u as (select d.file_id, d.line_no, min_by(s.raw, s.line_no) as raw, 'fn_' || d.ln as func_name from d join source_line s on s.file_id = d.file_id and s.ln = d.ln and s.line_no > d.line_no and regexp_matches(s.raw, '\\bcnt\\b') group by d.file_id, d.line_no, d.ln) select file_id, func_name, 'cnt' as variable, line_no from u where not regexp_matches(raw, '\\bcnt\\s*=[^=]')")
 def c1_uninitialised(spark, sf_dir):
-    lines = proc_lines(spark, sf_dir)
-    return M.uninitialised(lines, X.function_spans(S.source_files(lines)))
+    return O.uninitialised(S.source_files(proc_lines(spark, sf_dir)))
 
 
 @query(f"with {PROC_DUCK} select file_id, line_no as line, case when raw like '%sprintf%' then 'sprintf' else 'printf' end as function, case when raw like '%sprintf%' then 1 else 2 end::bigint as conversions, case when raw like '%sprintf%' then 0 else 1 end::bigint as arguments from source_line where raw like '%printf(\"%' or raw like '%sprintf(%'")
