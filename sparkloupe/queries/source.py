@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import embedded_sql as E
+from ..operators import one_pass as O
 from ..operators import search as S
 from ..operators import structure as X
 from ..plans import verdict
@@ -333,8 +334,7 @@ def h4_symbol_graph(spark, sf_dir):
 @query(f"with {PROC_DUCK}, {_SPAN}{_CALLS} select file_id, 'func:' || src as src, 'func:fn_1' as dst, 'CALLS' as edge_type, count(*) as n from call where dst = 'fn_1' group by all")
 def h6_callers(spark, sf_dir):
     """H6: what calls fn_1."""
-    files, spans, parsed, blocks = _parsed(spark, sf_dir)
-    return E.adjacent(E.symbol_graph(spans, blocks, E.call_edges(proc_lines(spark, sf_dir), spans)), "func:fn_1", outgoing=False, edge_type="CALLS")
+    return E.adjacent(O.symbol_graph(_files(spark, sf_dir), "CALLS"), "func:fn_1", outgoing=False, edge_type="CALLS")
 
 
 @query(f"with {PROC_DUCK}, {_SPAN}, f as ({_RULES}), g as (select file_id, func_name, fn % 2 as group_no, line_start, line_end from span), r as (select f.*, case when line_no % 5 = 0 then 'fn_1' end as func_name from f) select distinct r.*, g.group_no from r join g on g.file_id = r.file_id and (r.line_no between g.line_start and g.line_end or r.func_name = g.func_name)")
