@@ -262,8 +262,7 @@ def _with_section(spark, sf_dir):
 @query(f"with {_BLOCK} select file_id, name, min(line_start) + 5 as line_no from (select file_id, line_start, unnest(host_vars) as name from block) where name not in ('v1', 'v2') group by all")
 def k1_undeclared_host_vars(spark, sf_dir):
     """K1 and J12, with v1 and v2 declared in a section of every file."""
-    _, _, parsed, blocks = _parsed(spark, sf_dir, _with_section(spark, sf_dir))
-    return E.undeclared_host_vars(blocks, X.host_variables(parsed, blocks).where("c_type <> 'unknown'"))
+    return O.undeclared_host_vars(_with_section(spark, sf_dir))
 
 
 @query(f"with {_BLOCK}, v as (select file_id, name, min(line_start) + 5 as line, min_by(func_name, line_start) as func_name from (select file_id, line_start, func_name, unnest(host_vars) as name from block) where name not in ('v1', 'v2') group by all) select file_id, name, 'unknown' as c_type, line, null::varchar as indicator, func_name from v union all select file_id, d.name, d.c_type, d.line, d.indicator, null from source_file, (values ('v1', 'int', 2::bigint, 'v1_ind'), ('v1_ind', 'short', 3, null), ('v2', 'char[20]', 4, null)) d(name, c_type, line, indicator)")
