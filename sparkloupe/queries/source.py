@@ -275,8 +275,7 @@ def x8_host_variables(spark, sf_dir):
 @query(f"with {_EVENT}, {_SPAN}{_CALLS}, o as (select file_id, cursor, func_name as opener, min(line) as line_no from event where event_type = 'OPEN' group by all), c as (select distinct file_id, cursor, func_name as closer from event where event_type = 'CLOSE') select file_id, cursor, opener, line_no from o where not exists (select 1 from c where c.file_id = o.file_id and c.cursor = o.cursor and c.closer = o.opener) and exists (select 1 from c where c.file_id = o.file_id and c.cursor = o.cursor) and not exists (select 1 from c join call k on k.file_id = c.file_id and k.dst = c.closer where c.file_id = o.file_id and c.cursor = o.cursor and k.src = o.opener)")
 def k3_cursor_function_split(spark, sf_dir):
     """K3 and J19."""
-    files, spans, _, blocks = _parsed(spark, sf_dir)
-    return E.cursor_function_split(X.cursor_events(blocks), E.call_edges(proc_lines(spark, sf_dir), spans))
+    return O.cursor_function_split(_files(spark, sf_dir))
 
 
 #: Islands of C with the function of their first line; short ones join the one before in the same function.
