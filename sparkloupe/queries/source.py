@@ -305,8 +305,7 @@ def k5_no_error_path(spark, sf_dir):
 
 @query(f"with {_BLOCK}, {_SPAN}{_CALLS}, d as (select file_id, func_name, min(line_start) as line_no from dml group by all), t as (select distinct file_id, func_name from block where kind in ('COMMIT', 'ROLLBACK')), l as (select file_id, src as f, dst as o from call union select file_id, dst, src from call) select file_id, func_name, line_no from d where file_id in (select file_id from t) and file_id in (select file_id from call) and not exists (select 1 from t where t.file_id = d.file_id and t.func_name = d.func_name) and not exists (select 1 from l join t on t.file_id = l.file_id and t.func_name = l.o where l.file_id = d.file_id and l.f = d.func_name)")
 def k6_transaction_split(spark, sf_dir):
-    files, spans, _, blocks = _parsed(spark, sf_dir)
-    return E.transaction_split(blocks, E.call_edges(proc_lines(spark, sf_dir), spans))
+    return O.transaction_split(_files(spark, sf_dir))
 
 
 @query(f"with {PROC_DUCK}, {_SPAN}{_CALLS} select file_id, src, dst, line_no from call")
