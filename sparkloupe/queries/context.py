@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import embedded_sql as E
+from ..operators import one_pass as O
 from ..operators import search as S
 from ..operators import structure as X
 from ..sources import tool_output as TO
@@ -58,9 +59,12 @@ def x10_cursor_bodies(spark, sf_dir):
     return C.cursor_bodies(blocks, S.source_lines(files))
 
 
+#: An include, a macro and a variable before the first line.
+_HEADS = ("#include <stdio.h>", "#define N 3", "static int total = 0;")
+
+
 def _with_heads(lines):
-    """Lines with an include, a macro and a variable before the first."""
-    heads = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t")) for n, t in ((-2, "#include <stdio.h>"), (-1, "#define N 3"), (0, "static int total = 0;"))])
+    heads = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t")) for n, t in enumerate(_HEADS, -2)])
     return lines.union(lines.select("file_id").distinct().select("file_id", F.explode(heads).alias("h")).select("file_id", F.col("h.n").alias("line_no"), F.col("h.t").alias("raw")))
 
 
@@ -88,8 +92,7 @@ def x24_function_summary(spark, sf_dir):
 
 @query(f"with {PROC_DUCK}, {_SPAN}, {_CALL}, c as (select distinct file_id, name from distinct_call), d as (select file_id, count(*) as n, list_sort(list(name)) as l from c group by file_id), f as (select file_id, count(*) as n, list_sort(list(func_name)) as l, string_agg('static int ' || func_name || '(int a, char *src)', chr(10) order by line_start) filter (fn < 30) as s from span group by file_id) select file_id, f.n as n_functions, d.n as n_calls, 0::bigint as n_imports, array_to_string(f.l[1:20], ', ') as functions, array_to_string(d.l[1:20], ', ') as calls, '' as imports, f.s as signatures, 'static int total = 0;' as globals from f join d using (file_id)")
 def x23_structure_summary(spark, sf_dir):
-    lines, spans = proc_lines(spark, sf_dir), _spans(spark, sf_dir)
-    return C.structure_summary(S.imports(lines), S.calls(lines), spans, C.global_context(_with_heads(lines), spans))
+    return O.structure_summary(_files(spark, sf_dir), _HEADS)
 
 
 @query(f"with {PROC_DUCK}, {_SPAN} select distinct file_id, line_start, line_end from source_line join span using (file_id) where raw like '%gets(y)%' and line_no between line_start and line_end")
