@@ -268,8 +268,7 @@ def k1_undeclared_host_vars(spark, sf_dir):
 @query(f"with {_BLOCK}, v as (select file_id, name, min(line_start) + 5 as line, min_by(func_name, line_start) as func_name from (select file_id, line_start, func_name, unnest(host_vars) as name from block) where name not in ('v1', 'v2') group by all) select file_id, name, 'unknown' as c_type, line, null::varchar as indicator, func_name from v union all select file_id, d.name, d.c_type, d.line, d.indicator, null from source_file, (values ('v1', 'int', 2::bigint, 'v1_ind'), ('v1_ind', 'short', 3, null), ('v2', 'char[20]', 4, null)) d(name, c_type, line, indicator)")
 def x8_host_variables(spark, sf_dir):
     """Declared ones with their indicators, and the others that SQL uses."""
-    _, _, parsed, blocks = _parsed(spark, sf_dir, _with_section(spark, sf_dir))
-    return X.host_variables(parsed, blocks).select("file_id", "name", "c_type", "line", "indicator", "func_name")
+    return O.host_variables(_with_section(spark, sf_dir)).select("file_id", "name", "c_type", "line", "indicator", "func_name")
 
 
 @query(f"with {_EVENT}, {_SPAN}{_CALLS}, o as (select file_id, cursor, func_name as opener, min(line) as line_no from event where event_type = 'OPEN' group by all), c as (select distinct file_id, cursor, func_name as closer from event where event_type = 'CLOSE') select file_id, cursor, opener, line_no from o where not exists (select 1 from c where c.file_id = o.file_id and c.cursor = o.cursor and c.closer = o.opener) and exists (select 1 from c where c.file_id = o.file_id and c.cursor = o.cursor) and not exists (select 1 from c join call k on k.file_id = c.file_id and k.dst = c.closer where c.file_id = o.file_id and c.cursor = o.cursor and k.src = o.opener)")
