@@ -323,8 +323,7 @@ def h5_call_edges(spark, sf_dir):
  union all select file_id, 'func:' || src, 'func:' || dst, 'CALLS' from call)
  select file_id, src, dst, edge_type, count(*) as n from e group by all""")
 def h4_symbol_graph(spark, sf_dir):
-    files, spans, parsed, blocks = _parsed(spark, sf_dir)
-    return E.symbol_graph(spans, blocks, E.call_edges(proc_lines(spark, sf_dir), spans), X.host_variables(parsed, blocks))
+    return O.symbol_graph(_files(spark, sf_dir))
 
 
 @query(f"with {PROC_DUCK}, {_SPAN}{_CALLS} select file_id, 'func:' || src as src, 'func:fn_1' as dst, 'CALLS' as edge_type, count(*) as n from call where dst = 'fn_1' group by all")
