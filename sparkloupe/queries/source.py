@@ -351,8 +351,7 @@ def j6_in_group(spark, sf_dir):
     "union all select file_id, 'CROSS_TRANSACTION_MISSING_ROLLBACK', 'high', min(line_start) filter (kind = 'COMMIT') from block group by file_id having bool_or(kind = 'COMMIT') and not bool_or(kind = 'ROLLBACK')")
 def k0_cross_checks(spark, sf_dir):
     """K0 to K7 together."""
-    files, _, parsed, _ = _parsed(spark, sf_dir)
-    return E.cross_checks(parsed, proc_lines(spark, sf_dir))
+    return O.cross_checks(_files(spark, sf_dir))
 
 
 @query(f"with recursive {PROC_DUCK}, {_SPAN}, p as (select file_id, fn, func_name, line_count as total, 0::bigint as group_no from span where fn = 0 union all select s.file_id, s.fn, s.func_name, case when p.total + s.line_count > 24 then s.line_count else p.total + s.line_count end, p.group_no + case when p.total + s.line_count > 24 then 1 else 0 end from p join span s on s.file_id = p.file_id and s.fn = p.fn + 1) select file_id, func_name, group_no from p")
