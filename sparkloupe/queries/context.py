@@ -55,8 +55,7 @@ _PREPARED = (
 @query(f"with {_BLOCK} select file_id, regexp_extract(sql_text, '^DECLARE (\\w+)', 1) as cursor, regexp_extract(sql_text, 'FOR (SELECT.*)$', 1) as body from block where kind = 'DECLARE' union all select file_id, c.cursor, c.body from source_file, (values ('c1', 'SELECT 1 FROM a'), ('c2', 'SELECT x FROM \"b\" WHERE y = %d'), ('c3', null)) c(cursor, body)")
 def x10_cursor_bodies(spark, sf_dir):
     files = _files(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n" + "\n".join(_PREPARED))))
-    _, _, _, blocks = _parsed(spark, sf_dir, files)
-    return C.cursor_bodies(blocks, S.source_lines(files))
+    return O.cursor_bodies(files)
 
 
 #: An include, a macro and a variable before the first line.
