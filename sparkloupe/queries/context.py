@@ -156,8 +156,7 @@ def w16_related_variables(spark, sf_dir):
 @query(f"with {_EVENT}, t as (select distinct file_id, func_name from block where kind = 'COMMIT'), o as (select distinct file_id, cursor from event semi join t using (file_id, func_name)), g as (select file_id, cursor, string_agg(event_type || '(L' || line || ', ' || func_name || ')', ' → ' order by line) as events, list(distinct event_type) as p from event semi join o using (file_id, cursor) group by all), d as (select distinct file_id, regexp_extract(sql_text, '^DECLARE (\\w+)', 1) as cursor from block where kind = 'DECLARE') select file_id, g.cursor, events, array_to_string(list_filter(['DECLARE', 'OPEN', 'FETCH', 'CLOSE'], lambda e: not list_contains(p, e)), ',') as missing, case when d.cursor is not null then 'SELECT a F' end as body from g left join d using (file_id, cursor)")
 def w16_related_cursors(spark, sf_dir):
     """W16, with bodies cut at ten characters."""
-    _, _, _, blocks = _parsed(spark, sf_dir)
-    return C.related_cursors(X.cursor_events(blocks), C.cursor_bodies(blocks, proc_lines(spark, sf_dir)), X.transaction_points(blocks).where("kind = 'COMMIT'"), 10)
+    return O.related_cursors(_files(spark, sf_dir), most=10)
 
 
 @query(f"with {_ISSUE}, s as (select distinct file_id from issue), x as (select distinct file_id from issue where severity = 'critical') select file_id, case when file_id in (select file_id from x) then 'error_focused' else 'whole' end as route from s")
