@@ -127,13 +127,18 @@ def scan_rules(lines: DataFrame, rules=C_RULES, code: Column | None = None) -> D
     return rows.select("file_id", "line_no", F.trim("raw").alias("raw_match"), F.inline(rule_hits(F.col("_code"), rules))).select("file_id", "line_no", "rule_id", "severity", "category", "raw_match")
 
 
+def line_hits(content: Column, rules=C_RULES) -> Column:
+    """scan_rules of a text as an array of (line_no, raw_match, rule_id, severity, category)."""
+    found = lambda line, i: F.flatten(F.transform(F.array(T.blank_strings(line)), lambda code: F.transform(rule_hits(code, rules), lambda h: F.struct((i + 1).cast("long").alias("line_no"), F.trim(line).alias("raw_match"), h["rule_id"].alias("rule_id"), h["severity"].alias("severity"), h["category"].alias("category")))))
+    return F.flatten(F.transform(T.lines(content), found))
+
+
 def scan_rules_in_functions(files: DataFrame, rules=C_RULES) -> DataFrame:
     """scan_rules of files(file_id, content) with func_name. A file's findings and spans are made beside each
     other, so there is neither a shuffle nor a join."""
     from .structure import spans_column
 
-    found = lambda line, i: F.flatten(F.transform(F.array(T.blank_strings(line)), lambda code: F.transform(rule_hits(code, rules), lambda h: F.struct((i + 1).cast("long").alias("line_no"), F.trim(line).alias("raw_match"), h["rule_id"].alias("rule_id"), h["severity"].alias("severity"), h["category"].alias("category")))))
-    rows = files.select("file_id", spans_column(F.col("content")).alias("_s"), F.flatten(F.transform(T.lines(F.col("content")), found)).alias("_f"))
+    rows = files.select("file_id", spans_column(F.col("content")).alias("_s"), line_hits(F.col("content"), rules).alias("_f"))
     rows = rows.select("file_id", "_s", F.inline("_f"))
     inside = F.get(F.filter("_s", lambda s: F.col("line_no").between(s["line_start"], s["line_end"])), 0)
     return rows.select("file_id", "line_no", "rule_id", "severity", "category", "raw_match", inside["func_name"].alias("func_name"))
