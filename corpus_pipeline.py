@@ -25,8 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate group the row with the smallest doc_id; of rows with one doc_id, the one whose columns
-    have the least hash. Rows whose doc_id is null stay."""
+    """Keep of each near-duplicate group the row with the smallest doc_id. Candidates are linked by SimHash fingerprints,
+    as in op6, or share a band of minima; all are confirmed by their sets of shingles. Of rows with one doc_id, the one
+    whose columns have the least hash stays, and so do rows whose doc_id is null."""
     groups = simhash.similar_groups(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     row, digest = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, digest).alias("row")).select("row.*")

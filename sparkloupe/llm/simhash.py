@@ -261,12 +261,13 @@ def confirmed(groups: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, name: str = "near-dedup") -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, name: str = "near-dedup") -> DataFrame:
     """(doc_id, component_id) by near-duplicate groups: `similarity` is the Jaccard similarity of the sets of
     five-word shingles.
 
-    Candidates share one of `BANDS` bands of `ROWS` minima of the set. A pair at 0.8 shares none with a chance of
-    5e-8, wherever the texts differ. First each row is compared with the smallest row of the buckets that it shares
+    Candidates are of one class of classes(), as their fingerprints are linked by `radius` bits through the covering
+    masks, or share one of `BANDS` bands of `ROWS` minima of the set: fingerprints alone miss near copies in which a
+    passage is put in or cut, and a pair at 0.8 shares no band with a chance of 5e-8, wherever the texts differ. First each row is compared with the smallest row of the buckets that it shares
     most often with one; then every pair of a bucket that isn't in one component yet is compared, in blocks of
     `GROUP` rows where the bucket is larger. All comparisons are of the sets themselves, and each gives a spanning
     forest. Texts without a word, and texts that are equal word by word, are one group each.
@@ -275,7 +276,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     space = Workspace(spark, name)
     marks = space.save(signatures(docs, shingle), "signatures")
     same = space.save(marks.where("doc_id is not null").groupBy("body").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
-    rows = same.select(F.explode("bands").alias("key"), "rep")
+    linked = classes(spark, docs, radius=radius, name=f"{name}-fingerprints").where("doc_id is not null")
+    linked = linked.select(F.xxhash64(F.lit("simhash"), "component_id").alias("key"), F.col("doc_id").alias("rep")).distinct()
+    linked = space.save(linked.join(same, "rep", "left_semi").select("key", "rep"), "classes")
+    rows = same.select(F.explode("bands").alias("key"), "rep").union(linked)
     sizes = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = space.save(rows.join(sizes.select("key", "low"), "key"), "buckets")
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()

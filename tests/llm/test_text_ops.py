@@ -680,3 +680,20 @@ def test_secret_query_with_a_lasting_ledger(spark, tmp_path):
         assert sorted(map(tuple, secrets.op8_secrets(spark, sf).collect())) == fresh and ledger.read().count() == blobs
     finally:
         spark.conf.unset(secrets.LEDGER)
+
+
+def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """Without bands, SimHash links near copies; a class of fingerprints alone joins nothing."""
+    rng, rows = random.Random(9), []
+    fp = lambda t: int(simhash.simhash(simhash.hashes(t.encode(), 3, False))[0])
+    while len(rows) < 12:
+        text = words(rng, 300)
+        near = text.rsplit(" ", 1)[0] + " other"
+        if (fp(text) ^ fp(near)).bit_count() <= 3:
+            rows += [(len(rows), text), (len(rows) + 1, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signatures = simhash.signatures
+    monkeypatch.setattr(simhash, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array().cast("array<long>")))
+    assert {r[0]: r[1] for r in simhash.similar_groups(spark, docs).collect()} == {i: i - i % 2 for i, _ in rows}
+    monkeypatch.setattr(simhash, "classes", lambda spark, docs, **_: docs.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id")))
+    assert {r[0]: r[1] for r in simhash.similar_groups(spark, docs).collect()} == {i: i - i % 2 for i, _ in rows}
